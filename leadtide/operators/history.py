@@ -11,6 +11,7 @@ from leadtide.operators.ordering import (
     Ordered,
     add_prior,
     add_shared_prior,
+    number_rows,
     prior_name,
     split_groups,
 )
@@ -59,12 +60,23 @@ def _measures_of(kinds: list[str]) -> list[str]:
 
 
 def shared_history(
-    clean: Ordered, groups: dict[str, str], kinds: list[str], everything: bool = False
+    clean: Ordered,
+    groups: dict[str, str],
+    kinds: list[str],
+    everything: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """``<group>_<metric>`` for several groupings, without fallback."""
+    """``<group>_<metric>`` for several groupings, without fallback.
+
+    ``source`` is a form of the rows that is cheap to read twice.
+    """
     measured = clean.with_rows(with_measures(clean.rows))
     prior = add_shared_prior(
-        measured, groups, _measures_of(kinds), EVERYTHING if everything else None
+        measured,
+        groups,
+        _measures_of(kinds),
+        EVERYTHING if everything else None,
+        None if source is None else with_measures(source),
     )
     metrics = [metric(g, k, f"{g}_{k}") for g in groups for k in kinds]
     if everything:
@@ -80,7 +92,7 @@ def customer_history(clean: Ordered, kinds: list[str]) -> Ordered:
     """
     keep = clean.rows.columns
     rows = split_groups(clean.with_rows(with_measures(clean.rows)), [CUSTOMER])
-    rows = add_prior(rows, CUSTOMER_PREFIX, [CUSTOMER], _measures_of([*kinds, "close_rate"]))
+    rows = add_prior(rows, CUSTOMER_PREFIX, [CUSTOMER], _measures_of([*kinds, "aov"]))
     orders = prior_name(CUSTOMER_PREFIX, ORDERS)
     rows = add_prior(rows, "since", [CUSTOMER, orders], [QUOTES])
     since = f"CASE WHEN {CUSTOMER} IS NULL THEN whether_order ELSE {prior_name('since', QUOTES)} + 1 END"
@@ -132,22 +144,27 @@ def raw_history(clean: Ordered, cycles: bool = True) -> DataFrame:
     """
     kinds = [k for k in METRICS if cycles or k != "asc"]
     customers = customer_history(clean, kinds)
-    features = [c for c in customers.rows.columns if c not in clean.rows.columns]
-    measured = customers.with_rows(with_measures(customers.rows))
-    prior = add_shared_prior(
-        measured,
-        SHARED_GROUPS,
-        _measures_of(kinds),
-        EVERYTHING,
-        source=with_measures(clean.rows),
-    )
-    metrics = [metric(EVERYTHING, k, GLOBAL_METRICS[k]) for k in kinds]
-    metrics += [metric(g, k, f"{g}_{k}") for g in SHARED_GROUPS for k in kinds]
-    keep = [c for c in clean.rows.columns if c not in (POS, CHUNK)]
-    return prior.rows.selectExpr(*keep, *features, *metrics)
+    rows = shared_history(customers, SHARED_GROUPS, kinds, everything=True, source=clean.rows)
+    return rows.drop(POS, CHUNK)
 
 
 def history_features(clean: Ordered, cycles: bool = True) -> DataFrame:
     """Clean quotes with all 30 features (21 without sales cycles)."""
     kinds = [k for k in METRICS if cycles or k != "asc"]
     return with_fallback(raw_history(clean, cycles), kinds)
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], amount: str, totals: dict[str, str], partitions: int | None = None
+) -> DataFrame:
+    """Sum ``amount`` per ``keys``, then running totals in the order of ``keys``.
+
+    ``totals`` maps a new column to the key it runs over. Rows with a missing key are
+    left out, as in any grouping of the reference.
+    """
+    summed = df.na.drop(subset=keys).groupBy(*keys).agg(F.sum(amount).alias(amount))
+    ordered = number_rows(summed, [F.col(k) for k in keys], "totals", partitions)
+    prior = add_shared_prior(ordered, totals, [amount])
+    return prior.rows.selectExpr(
+        *keys, amount, *[f"{prior_name(t, amount)} + {amount} AS {t}" for t in totals]
+    )

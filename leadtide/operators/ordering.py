@@ -211,7 +211,7 @@ def split_groups(ordered: Ordered, keys: Iterable[str]) -> Ordered:
     rows = ordered.rows
     in_group = F.expr(_no_null(keys))
     hot = F.lit(False)
-    columns = rows.columns
+    columns = [c for c in rows.columns if c != SPLIT]
     if ordered.may_have_hot_groups:
         large = (
             rows.filter(in_group)
