@@ -71,17 +71,20 @@ def shared_history(
     ``source`` is a form of the rows that is cheap to read twice.
     """
     measured = clean.with_rows(with_measures(clean.rows))
+
+    def figures(group: str) -> list[str]:
+        label = GLOBAL_METRICS.get if group == EVERYTHING else f"{group}_{{}}".format
+        return [metric(group, k, label(k)) for k in kinds]
+
     prior = add_shared_prior(
         measured,
         groups,
         _measures_of(kinds),
         EVERYTHING if everything else None,
         None if source is None else with_measures(source),
+        figures,
     )
-    metrics = [metric(g, k, f"{g}_{k}") for g in groups for k in kinds]
-    if everything:
-        metrics += [metric(EVERYTHING, k, GLOBAL_METRICS[k]) for k in kinds]
-    return prior.rows.selectExpr(*clean.rows.columns, *metrics)
+    return prior.rows.drop(*MEASURES)
 
 
 def customer_history(clean: Ordered, kinds: list[str]) -> Ordered:

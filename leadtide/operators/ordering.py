@@ -18,7 +18,7 @@ afterwards. Two forms use this:
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,12 +166,14 @@ def add_shared_prior(
     measures: Iterable[str],
     everything: str | None = None,
     source: DataFrame | None = None,
+    figures: Callable[[str], list[str]] | None = None,
 ) -> Ordered:
     """Add ``<group>__<measure>``: the measure's sum over the group's earlier rows.
 
     ``groups`` maps a name to its key column; ``everything`` names the figures over all
     rows. No earlier row or a missing key gives 0. Chunk totals are read from ``source``,
-    the same rows in a form that is cheap to read twice.
+    the same rows in a form that is cheap to read twice. ``figures`` gives SQL columns
+    that replace the sums of a group at once, so that the next sort moves fewer columns.
     """
     measures = list(measures)
     groups = dict(groups)
@@ -187,14 +189,20 @@ def add_shared_prior(
             _shared_carry(source, groups, measures), allowMissingColumns=True
         )
     rows = rows.repartitionById(ordered.n_chunks, CHUNK)
-    rows = rows.selectExpr(
-        *columns,
-        *[
-            _prior_sum(m, [key, CHUNK], [key], prior_name(name, m))
-            for name, key in groups.items()
-            for m in measures
-        ],
-    )
+    if figures:
+        for name, key in groups.items():
+            before = rows.columns
+            sums = [_prior_sum(m, [key, CHUNK], [key], prior_name(name, m)) for m in measures]
+            rows = rows.selectExpr(*before, *sums).selectExpr(*before, *figures(name))
+    else:
+        rows = rows.selectExpr(
+            *columns,
+            *[
+                _prior_sum(m, [key, CHUNK], [key], prior_name(name, m))
+                for name, key in groups.items()
+                for m in measures
+            ],
+        )
     if ordered.n_chunks > 1:
         rows = rows.filter(F.col(POS) > FRONT)
     return ordered.with_rows(rows.drop(EVERY_ROW))
