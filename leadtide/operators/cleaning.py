@@ -108,10 +108,18 @@ def kept_rows(rows: DataFrame) -> DataFrame:
     closed = (
         narrow.filter(F.col(ORDER) != NO_ORDER)
         .groupBy(ORDER, QUOTE)
-        .agg(F.sum(AMOUNT).alias("total"), F.min(POS).alias(POS))
+        .agg(
+            F.sum(AMOUNT).alias("total"),
+            F.min_by(CHUNK, POS).alias(CHUNK),
+            F.min(POS).alias(POS),
+        )
         .groupBy(ORDER)
-        .agg(F.min_by("total", POS).alias("total"), F.min(POS).alias(POS))
-        .select(POS, "total")
+        .agg(
+            F.min_by("total", POS).alias("total"),
+            F.min_by(CHUNK, POS).alias(CHUNK),
+            F.min(POS).alias(POS),
+        )
+        .select(CHUNK, POS, "total")
     )
     open_rows = narrow.filter(F.col(ORDER) == NO_ORDER)
     totals = (
@@ -123,19 +131,27 @@ def kept_rows(rows: DataFrame) -> DataFrame:
             F.sum("in_chunk").over(Window.partitionBy(QUOTE)).alias("total"),
         )
     )
-    opened = open_rows.join(totals, [QUOTE, CHUNK]).select(POS, "total")
+    opened = open_rows.join(totals, [QUOTE, CHUNK]).select(CHUNK, POS, "total")
     return closed.unionByName(opened)
 
 
+def place_chunks(rows: DataFrame, quotes: Ordered) -> DataFrame:
+    """Each chunk in a partition of its own."""
+    return rows.repartitionById(quotes.n_chunks, CHUNK)
+
+
 def dedupe_orders(quotes: Ordered, source: DataFrame | None = None) -> Ordered:
     """One row per order and all open rows, with amounts summed per (quote, order).
 
-    The kept positions are unique, so the join spreads evenly. They are worked out from
+    The kept positions are unique and both sides are placed by chunk, so the join is even
+    and leaves the rows where later steps want them. Positions are worked out from
     ``source``, the same rows in a form that is cheap to read twice.
     """
     rows = quotes.rows
     total = F.col("total").cast("decimal(28,2)").alias(AMOUNT)
-    kept = rows.drop(AMOUNT).join(kept_rows(rows if source is None else source), POS)
+    kept = place_chunks(rows.drop(AMOUNT), quotes).join(
+        place_chunks(kept_rows(rows if source is None else source), quotes), [CHUNK, POS]
+    )
     return quotes.with_rows(
         kept.select(*[total if c == AMOUNT else F.col(c) for c in rows.columns])
     )

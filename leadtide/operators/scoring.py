@@ -9,42 +9,26 @@ from pyspark.sql import functions as F
 
 from leadtide.schema import QUOTE, QUOTE_COLUMNS, SEQ
 
-SHARED_COLUMNS = [*QUOTE_COLUMNS, "close_3d", "close_2w", "sales_cycle"]
-
-
-def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    joined = left.join(right, condition, "left")
-    for key in keys:
-        joined = joined.drop(right[key])
-    return joined
-
-
 def attach_predictions(
     raw: DataFrame, scored: DataFrame, predictions: Iterable[str], row_id: str = SEQ
 ) -> DataFrame:
-    """Prediction columns of ``scored`` joined to ``raw`` on all shared columns.
+    """Prediction columns of ``scored`` next to the raw row they were made from.
 
-    The row id is one of the keys: rows that repeat on all other columns get their own
-    prediction, once, instead of meeting every copy. It is unique, so the join is even.
+    Rows are matched by their id. Matching all shared columns instead, as one must
+    without an id, would give a row that repeats the prediction of every copy.
     """
-    keys = [row_id, *[c for c in SHARED_COLUMNS if c in raw.columns and c in scored.columns]]
-    return _null_safe_left(raw, scored.select(*keys, *predictions), keys)
+    return raw.join(scored.select(row_id, *predictions), row_id, "left")
 
 
 def raw_and_scaled(raw: DataFrame, scaled: DataFrame, row_id: str = SEQ) -> DataFrame:
-    """Both forms of every other column side by side, as ``<name>_raw`` and ``<name>_scaled``.
-
-    Joined on the quote columns and the row id.
-    """
-    keys = [row_id, *[c for c in QUOTE_COLUMNS if c in raw.columns]]
-    both = [c for c in raw.columns if c in scaled.columns and c not in keys]
+    """Both forms of every feature side by side, as ``<name>_raw`` and ``<name>_scaled``,
+    with the quote columns once and any further columns of ``scaled``."""
+    once = [row_id, *[c for c in QUOTE_COLUMNS if c in raw.columns]]
+    both = [c for c in raw.columns if c in scaled.columns and c not in once]
     more = [c for c in scaled.columns if c not in raw.columns]
-    left = raw.select(*keys, *[F.col(c).alias(f"{c}_raw") for c in both])
-    right = scaled.select(*keys, *[F.col(c).alias(f"{c}_scaled") for c in both], *more)
-    return _null_safe_left(left, right, keys)
+    left = raw.select(*once, *[F.col(c).alias(f"{c}_raw") for c in both])
+    right = scaled.select(row_id, *[F.col(c).alias(f"{c}_scaled") for c in both], *more)
+    return left.join(right, row_id, "left")
 
 
 def rows_of(df: DataFrame, subset: DataFrame, row_id: str = SEQ) -> DataFrame:
