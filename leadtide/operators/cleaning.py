@@ -12,7 +12,9 @@ from leadtide.operators.ordering import (
     TASK_ROWS,
     Ordered,
     add_previous,
+    beside,
     number_rows,
+    place_chunks,
     split_groups,
 )
 from leadtide.schema import (
@@ -135,11 +137,6 @@ def kept_rows(rows: DataFrame) -> DataFrame:
     return closed.unionByName(opened)
 
 
-def place_chunks(rows: DataFrame, quotes: Ordered) -> DataFrame:
-    """Each chunk in a partition of its own."""
-    return rows.repartitionById(quotes.n_chunks, CHUNK)
-
-
 def dedupe_orders(quotes: Ordered, source: DataFrame | None = None) -> Ordered:
     """One row per order and all open rows, with amounts summed per (quote, order).
 
@@ -149,9 +146,8 @@ def dedupe_orders(quotes: Ordered, source: DataFrame | None = None) -> Ordered:
     """
     rows = quotes.rows
     total = F.col("total").cast("decimal(28,2)").alias(AMOUNT)
-    kept = place_chunks(rows.drop(AMOUNT), quotes).join(
-        place_chunks(kept_rows(rows if source is None else source), quotes), [CHUNK, POS]
-    )
+    totals = place_chunks(quotes, kept_rows(rows if source is None else source))
+    kept = beside(quotes.with_rows(rows.drop(AMOUNT)), totals)
     return quotes.with_rows(
         kept.select(*[total if c == AMOUNT else F.col(c) for c in rows.columns])
     )

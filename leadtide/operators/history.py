@@ -11,7 +11,9 @@ from leadtide.operators.ordering import (
     Ordered,
     add_prior,
     add_shared_prior,
+    beside,
     number_rows,
+    place_chunks,
     prior_name,
     split_groups,
 )
@@ -20,7 +22,6 @@ from leadtide.schema import (
     CUSTOMER,
     CUSTOMER_PREFIX,
     GLOBAL_METRICS,
-    GROUPS,
     SHARED_GROUPS,
 )
 
@@ -48,10 +49,10 @@ def with_measures(clean: DataFrame) -> DataFrame:
     )
 
 
-def metric(group: str, kind: str, name: str) -> str:
-    """A zero-safe ratio of two prior sums, as an SQL expression."""
+def metric(group: str, kind: str, name: str, instead: str = "0D") -> str:
+    """A ratio of two prior sums as an SQL expression; ``instead`` if it is zero."""
     part, whole = (prior_name(group, m) for m in METRICS[kind])
-    return f"coalesce(try_divide(double({part}), double({whole})), 0D) AS {name}"
+    return f"coalesce(nullif(try_divide(double({part}), double({whole})), 0D), {instead}) AS {name}"
 
 
 def _measures_of(kinds: list[str]) -> list[str]:
@@ -59,54 +60,59 @@ def _measures_of(kinds: list[str]) -> list[str]:
     return [m for m in MEASURES if m in used]
 
 
-def shared_history(
+def shared_figures(
     clean: Ordered,
     groups: dict[str, str],
     kinds: list[str],
     everything: bool = False,
-    source: DataFrame | None = None,
+    fallback: bool = False,
 ) -> DataFrame:
-    """``<group>_<metric>`` for several groupings, without fallback.
+    """``<group>_<metric>`` for several groupings, by position.
 
-    ``source`` is a form of the rows that is cheap to read twice.
+    With ``everything`` also the metrics over all quotes; with ``fallback`` these replace
+    a group metric of 0, a true zero too.
+
+    The windows run over keys and measures alone; see ``beside`` for the other columns.
     """
-    measured = clean.with_rows(with_measures(clean.rows))
+    measures = _measures_of(kinds)
+    narrow = with_measures(clean.rows).select(POS, CHUNK, *groups.values(), *measures)
 
     def figures(group: str) -> list[str]:
-        label = GLOBAL_METRICS.get if group == EVERYTHING else f"{group}_{{}}".format
-        return [metric(group, k, label(k)) for k in kinds]
+        if group == EVERYTHING:
+            return [metric(group, k, GLOBAL_METRICS[k]) for k in kinds]
+        instead = GLOBAL_METRICS if fallback else {}
+        return [metric(group, k, f"{group}_{k}", instead.get(k, "0D")) for k in kinds]
 
     prior = add_shared_prior(
-        measured,
+        clean.with_rows(narrow),
         groups,
-        _measures_of(kinds),
+        measures,
         EVERYTHING if everything else None,
-        None if source is None else with_measures(source),
-        figures,
+        figures=figures,
     )
-    return prior.rows.drop(*MEASURES)
+    return prior.rows.drop(*measures)
 
 
-def customer_history(clean: Ordered, kinds: list[str]) -> Ordered:
-    """Totals, metrics and quotes since the last order of each customer.
+def customer_figures(clean: Ordered, kinds: list[str]) -> DataFrame:
+    """Totals, metrics and quotes since the last order of each customer, by position.
 
     Rows between two orders share their number of earlier orders, so the place of a row
     among them is the number of quotes since the last order, itself included.
     """
-    keep = clean.rows.columns
-    rows = split_groups(clean.with_rows(with_measures(clean.rows)), [CUSTOMER])
-    rows = add_prior(rows, CUSTOMER_PREFIX, [CUSTOMER], _measures_of([*kinds, "aov"]))
+    measures = _measures_of([*kinds, "aov"])
+    narrow = with_measures(clean.rows).select(POS, CHUNK, CUSTOMER, *MEASURES)
+    rows = split_groups(clean.with_rows(narrow), [CUSTOMER])
+    rows = add_prior(rows, CUSTOMER_PREFIX, [CUSTOMER], measures)
     orders = prior_name(CUSTOMER_PREFIX, ORDERS)
     rows = add_prior(rows, "since", [CUSTOMER, orders], [QUOTES])
-    since = f"CASE WHEN {CUSTOMER} IS NULL THEN whether_order ELSE {prior_name('since', QUOTES)} + 1 END"
-    return clean.with_rows(
-        rows.rows.selectExpr(
-            *keep,
-            *[metric(CUSTOMER_PREFIX, k, f"{CUSTOMER_PREFIX}_{k}") for k in kinds],
-            f"double({prior_name(CUSTOMER_PREFIX, SPENT)}) AS cust_tot_spend",
-            f"bigint({orders}) AS cust_tot_orders",
-            f"bigint({since}) AS quotes_since_last_order",
-        )
+    since = f"CASE WHEN {CUSTOMER} IS NULL THEN {ORDERS} ELSE {prior_name('since', QUOTES)} + 1 END"
+    return rows.rows.selectExpr(
+        POS,
+        CHUNK,
+        *[metric(CUSTOMER_PREFIX, k, f"{CUSTOMER_PREFIX}_{k}") for k in kinds],
+        f"double({prior_name(CUSTOMER_PREFIX, SPENT)}) AS cust_tot_spend",
+        f"bigint({orders}) AS cust_tot_orders",
+        f"bigint({since}) AS quotes_since_last_order",
     )
 
 
@@ -128,35 +134,26 @@ def order_epochs(clean: Ordered) -> DataFrame:
     )
 
 
-def with_fallback(df: DataFrame, kinds: list[str]) -> DataFrame:
-    """A group metric of 0 is replaced by the metric over all quotes."""
-    instead = {f"{g}_{k}": GLOBAL_METRICS[k] for g in GROUPS for k in kinds}
-    return df.selectExpr(
+def history_features(clean: Ordered, cycles: bool = True) -> DataFrame:
+    """Clean quotes with all 30 features (21 without sales cycles).
+
+    The customer windows take one exchange, all others share one; both move keys and
+    measures only. The wide rows move once, to meet the figures.
+    """
+    kinds = [k for k in METRICS if cycles or k != "asc"]
+    customers = place_chunks(clean, customer_figures(clean, kinds))
+    shared = shared_figures(clean, SHARED_GROUPS, kinds, everything=True, fallback=True)
+    rows = beside(clean, customers, shared).drop(POS, CHUNK)
+    # The customer's metrics meet those over all quotes only here.
+    instead = {f"{CUSTOMER_PREFIX}_{k}": GLOBAL_METRICS[k] for k in kinds}
+    return rows.selectExpr(
         *[
             f"CASE WHEN {c} = 0 THEN {instead[c]} ELSE {c} END AS {c}" if c in instead else c
-            for c in df.columns
+            for c in rows.columns
         ]
     )
 
 
-def raw_history(clean: Ordered, cycles: bool = True) -> DataFrame:
-    """All history features before the fallback.
-
-    Two exchanges of the rows in all: one by customer, one by chunk for the other seven
-    groupings and the figures over all quotes.
-    """
-    kinds = [k for k in METRICS if cycles or k != "asc"]
-    customers = customer_history(clean, kinds)
-    rows = shared_history(customers, SHARED_GROUPS, kinds, everything=True, source=clean.rows)
-    return rows.drop(POS, CHUNK)
-
-
-def history_features(clean: Ordered, cycles: bool = True) -> DataFrame:
-    """Clean quotes with all 30 features (21 without sales cycles)."""
-    kinds = [k for k in METRICS if cycles or k != "asc"]
-    return with_fallback(raw_history(clean, cycles), kinds)
-
-
 def running_totals(
     df: DataFrame, keys: list[str], amount: str, totals: dict[str, str], partitions: int | None = None
 ) -> DataFrame:

@@ -102,6 +102,22 @@ def number_rows(
     )
 
 
+def place_chunks(ordered: Ordered, rows: DataFrame) -> DataFrame:
+    """Each chunk in a partition of its own."""
+    return rows.repartitionById(ordered.n_chunks, CHUNK)
+
+
+def beside(ordered: Ordered, *parts: DataFrame) -> DataFrame:
+    """The rows with the columns of ``parts``, matched by position.
+
+    All sides are placed by chunk, so the joins add no exchange and stay even.
+    """
+    rows = place_chunks(ordered, ordered.rows)
+    for part in parts:
+        rows = rows.join(part, [CHUNK, POS])
+    return rows
+
+
 def prior_name(group: str, measure: str) -> str:
     return f"{group}__{measure}"
 
@@ -173,7 +189,8 @@ def add_shared_prior(
     ``groups`` maps a name to its key column; ``everything`` names the figures over all
     rows. No earlier row or a missing key gives 0. Chunk totals are read from ``source``,
     the same rows in a form that is cheap to read twice. ``figures`` gives SQL columns
-    that replace the sums of a group at once, so that the next sort moves fewer columns.
+    that replace the key and the sums of a group at once, so that the sorts of the next
+    groups move fewer columns.
     """
     measures = list(measures)
     groups = dict(groups)
@@ -182,7 +199,7 @@ def add_shared_prior(
     if everything:
         rows = rows.withColumn(EVERY_ROW, F.lit(1))
         source = source.withColumn(EVERY_ROW, F.lit(1))
-        groups[everything] = EVERY_ROW
+        groups = {everything: EVERY_ROW, **groups}
     columns = rows.columns
     if ordered.n_chunks > 1:
         rows = rows.unionByName(
@@ -191,9 +208,9 @@ def add_shared_prior(
     rows = rows.repartitionById(ordered.n_chunks, CHUNK)
     if figures:
         for name, key in groups.items():
-            before = rows.columns
+            others = [c for c in rows.columns if c != key]
             sums = [_prior_sum(m, [key, CHUNK], [key], prior_name(name, m)) for m in measures]
-            rows = rows.selectExpr(*before, *sums).selectExpr(*before, *figures(name))
+            rows = rows.selectExpr(*others, *sums).selectExpr(*others, *figures(name))
     else:
         rows = rows.selectExpr(
             *columns,

@@ -586,14 +586,15 @@ def dedupe_orders(t: Tables) -> DataFrame:
 
 @query(sql.after(sql.HISTORY, "SELECT src_seq, aov, avg_close_rate, avg_sales_cycle FROM history"))
 def global_history(t: Tables) -> DataFrame:
-    rows = history.shared_history(t.clean, {}, list(history.METRICS), everything=True)
-    return rows.select(SEQ, "aov", "avg_close_rate", "avg_sales_cycle")
+    figures = history.shared_figures(t.clean, {}, list(history.METRICS), everything=True)
+    return ordering.beside(t.clean, figures).select(SEQ, "aov", "avg_close_rate", "avg_sales_cycle")
 
 
 def _one_metric(t: Tables, kind: str) -> DataFrame:
     """One metric for all eight groupings, before the fallback."""
-    customers = history.customer_history(t.clean, [kind])
-    rows = history.shared_history(customers, SHARED_GROUPS, [kind], source=t.clean.rows)
+    customers = ordering.place_chunks(t.clean, history.customer_figures(t.clean, [kind]))
+    shared = history.shared_figures(t.clean, SHARED_GROUPS, [kind])
+    rows = ordering.beside(t.clean, customers, shared)
     return rows.select(SEQ, *[f"{g}_{kind}" for g in GROUPS])
 
 
@@ -616,11 +617,14 @@ def history_sales_cycle(t: Tables) -> DataFrame:
     return _one_metric(t, "asc")
 
 
+def _customers(t: Tables) -> DataFrame:
+    figures = ordering.place_chunks(t.clean, history.customer_figures(t.clean, []))
+    return ordering.beside(t.clean, figures)
+
+
 @query(sql.after(sql.HISTORY, "SELECT src_seq, cust_tot_spend, cust_tot_orders FROM history"))
 def customer_totals(t: Tables) -> DataFrame:
-    return history.customer_history(t.clean, ["aov"]).rows.select(
-        SEQ, "cust_tot_spend", "cust_tot_orders"
-    )
+    return _customers(t).select(SEQ, "cust_tot_spend", "cust_tot_orders")
 
 
 @query(sql.after(sql.SINCE, "SELECT src_seq, CAST(order_grp AS BIGINT) AS order_grp FROM epochs"))
@@ -635,7 +639,7 @@ def quotes_in_epoch(t: Tables) -> DataFrame:
 
 @query(sql.after(sql.SINCE, "SELECT src_seq, quotes_since_last_order FROM since"))
 def quotes_since_last_order(t: Tables) -> DataFrame:
-    return history.customer_history(t.clean, ["aov"]).rows.select(SEQ, "quotes_since_last_order")
+    return _customers(t).select(SEQ, "quotes_since_last_order")
 
 
 _BY = names(CUSTOMER, REQUEST, ORDER, PRODUCT)
