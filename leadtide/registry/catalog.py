@@ -38,7 +38,7 @@ from leadtide.schema import (
 )
 from leadtide.sources import files, testdata
 from leadtide.streaming import scores as streams
-from leadtide.workspace import fresh_path, store
+from leadtide.workspace import fresh_path
 
 # Boosting rounds and net iterations of the registered queries; the functions' own
 # defaults are the reference's settings.
