@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadtide.llm import curriculum, token_count, token_pack, url_cascade
+from leadtide.llm import curriculum, language, minhash, token_count, token_pack, url_cascade
 from leadtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,11 @@ def query(function):
     return function
 
 
+@query
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.assign(table(spark, sf_dir, "documents")).selectExpr(
@@ -85,6 +91,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_documents(spark, path, SEPARATOR)
 
 
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.training_rows(docs), keep=["doc_id"])
+    return found.select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
