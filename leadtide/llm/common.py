@@ -97,3 +97,19 @@ def _digest(edges: DataFrame) -> tuple:
         F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
     ).first()
     return row["n"], row["s"]
+
+
+#: Most list entries that are broadcast beside texts: 8 bytes each at most, 64 MB.
+BROADCAST_ENTRIES = 8_000_000
+
+
+def beside_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, ``found`` of the documents in ``found`` (``doc_id``, a list).
+
+    The lists are broadcast if their counted entries are few, so that texts need no shuffle;
+    beyond that both sides are shuffled by id.
+    """
+    size = found.agg(F.sum(F.size("found") + 4)).first()[0] or 0
+    if size <= BROADCAST_ENTRIES:
+        found = F.broadcast(found)
+    return docs.select("doc_id", "text").join(found, "doc_id").select("doc_id", "text", "found")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.llm import curriculum, language, minhash, token_count, token_pack, url_cascade
+from leadtide.llm import curriculum, decontaminate, doubling, language, minhash, token_count, token_pack, url_cascade
 from leadtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,31 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Two windows of 13 tokens with two replaced share four in a row, so runs of four find all.
+ORACLES["op3_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
+w AS (SELECT item_id, t, len(t) AS n, least(13, len(t)) AS w, CASE WHEN len(t) < 13 THEN 0 ELSE 2 END AS s
+      FROM i WHERE len(t) >= 5),
+dg AS (SELECT doc_id, k AS dk, t[k:k+3] AS g FROM d, unnest(range(1, len(t) - 2)) u(k)),
+ig AS (SELECT item_id, k AS ik, t[k:k+3] AS g FROM w, unnest(range(1, len(t) - 2)) u(k)),
+c AS (SELECT DISTINCT doc_id, item_id, dk - ik AS shift FROM dg JOIN ig USING (g)),
+x AS (SELECT doc_id, item_id, shift, k, w.w, w.s, (d.t[k + shift] = w.t[k])::INT AS same
+      FROM c JOIN d USING (doc_id) JOIN w USING (item_id), unnest(range(1, w.n + 1)) u(k)
+      WHERE k + shift BETWEEN 1 AND len(d.t)),
+z AS (SELECT doc_id, item_id, w, s,
+        sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS hits,
+        count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS seen
+      FROM x)
+SELECT DISTINCT doc_id, item_id FROM z WHERE seen >= w AND hits >= w - s
+"""
+
+
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.assign(table(spark, sf_dir, "documents")).selectExpr(
@@ -85,6 +110,11 @@ def op5_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read_documents(spark, path)
 
 
+@query
+def op7_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_count.write_flat(table(spark, sf_dir, "documents"), tokenizer_path(), SEPARATOR)
