@@ -67,7 +67,7 @@ def source_targets(sizes: DataFrame, schedule=SCHEDULE, max_repeat: int = MAX_RE
         .selectExpr("*", "(total - capped) / open_weight AS guess")
         .selectExpr(
             "*",
-            "min(CASE WHEN guess * weight <= cap THEN guess END) "
+            "max(CASE WHEN guess * weight <= cap THEN guess END) "
             f"OVER (ORDER BY cap / weight, source_key {EVERYTHING}) AS level",
         )
         .selectExpr(

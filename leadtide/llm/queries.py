@@ -89,7 +89,7 @@ c AS (
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
   FROM s),
 l AS (
-  SELECT min(CASE WHEN (total - capped) / open_weight * weight <= cap THEN (total - capped) / open_weight END) AS level
+  SELECT max(CASE WHEN (total - capped) / open_weight * weight <= cap THEN (total - capped) / open_weight END) AS level
   FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM c, l),
 p AS (
