@@ -12,9 +12,11 @@ Two texts at the threshold miss each other in all bands with probability
 six deviations below, about as rarely.
 
 Large groups: exact copies are one class with its smallest id. In a band, members are first
-paired with the smallest member alone. Only members still in different components are paired
-further: with a second hub, then with each other. Bands that are still large then are
-cut by a second band key, as two texts at the threshold share at least two bands but once in
+paired with the smallest member alone. Only bands that still hold several components go on.
+There, a set with too many shingles that no other has can link with nothing and is dropped;
+the rest meet the set with the fewest such shingles, and what still stands apart then is
+paired, if sizes and shared shingles allow a link at all. Bands that are still large are cut
+by a second band key, as two texts at the threshold share at least two bands but once in
 10 ** 5. Every step is a join that Spark can split; no task holds a band.
 """
 
@@ -123,6 +125,17 @@ def _estimate() -> str:
     return f"({equal} - {chance}D) / {1 - chance}D"
 
 
+def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``members`` of the documents in ``ids``, broadcast if they are few."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return (
+        docs.select("doc_id", "text")
+        .join(ids, "doc_id", "left_semi")
+        .mapInArrow(_sets, "id bigint, members array<bigint>")
+    )
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The links among candidate ``pairs`` (a, b), on full sets."""
     near = store(
@@ -133,14 +146,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame) -> DataFr
         "pairs",
     )
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n_ids = ids.count()
-    if n_ids <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = (
-        docs.select("doc_id", "text")
-        .join(ids, "doc_id", "left_semi")
-        .mapInArrow(_sets, "id bigint, members array<bigint>")
-    )
+    sets = _shingle_sets(docs, ids)
     return (
         near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b")
@@ -161,17 +167,49 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """The bands that hold more than one component."""
-    return (
+    """The rows of bands that hold more than one component."""
+    several = (
         members.groupBy("band", "key")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.xxhash64("rep", "band").alias("h"), "rep", "component")).alias("hub"),
-        )
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low != high")
+        .select("band", "key")
     )
+    return members.join(several, ["band", "key"], "left_semi")
+
+
+def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` of mixed bands without those that can link with nothing there.
+
+    Adds ``n``, the set's size, and ``m``, its shingles that some other member has too. A
+    link shares at most ``m`` shingles, with a set that is at least 0.85 as large and no
+    smaller than the smallest of the band. What this rules out has no link at all, so it can
+    be dropped, and then more shingles stand alone: two passes.
+    """
+    members = _mixed(members)
+    for turn in range(2):
+        ids = store(members.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+        rows = store(_shingle_sets(docs, ids), "open-sets")
+        alone = (
+            rows.select("id", F.explode("members").alias("shingle"))
+            .groupBy("shingle")
+            .agg(F.min("id").alias("id"), F.max("id").alias("last"))
+            .filter("id = last")
+            .groupBy("id")
+            .agg(F.count(F.lit(1)).alias("alone"))
+        )
+        sizes = (
+            rows.select("id", F.size("members").alias("n"))
+            .distinct()
+            .join(alone, "id", "left")
+            .selectExpr("id AS rep", "n", "n - coalesce(alone, 0L) AS m")
+        )
+        known = members.select("rep", "band", "key", "component").join(sizes, "rep")
+        least = known.groupBy("band", "key").agg(F.min("n").alias("least"))
+        open_rows = known.join(least, ["band", "key"]).filter(
+            f"{100 + PERCENT} * m >= {PERCENT} * (n + greatest(least, {PERCENT / 100}D * n))"
+        )
+        members = store(_mixed(open_rows.drop("least")), "open-bands")
+    return members
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,34 +244,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "found",
     )
     members = members.drop("hub")
-    placed = store(_labelled(members, links), "placed")
-    mixed = _mixed(placed)
-    if mixed.limit(1).count():
+    open_rows = _possible(docs, store(_labelled(members, links), "placed"))
+    if open_rows.limit(1).count():
+        # The set with the fewest shingles of its own is the likeliest to link.
+        hubs = open_rows.groupBy("band", "key").agg(
+            F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "component")).alias("hub")
+        )
         second = (
-            placed.join(mixed.select("band", "key", "hub"), ["band", "key"])
+            open_rows.join(hubs, ["band", "key"])
             .filter("component != hub.component")
             .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
             .distinct()
         )
         links = store(links.unionByName(_confirm(docs, second, reps)), "found")
-        placed = store(_labelled(members, links), "placed")
-        open_rows = placed.join(_mixed(placed).select("band", "key", "n"), ["band", "key"])
-        small = open_rows.filter(f"n <= {LARGE_BAND}").selectExpr(
-            "rep", "component", "band", "key", "-1 AS band2", "0L AS key2"
+        open_rows = store(_mixed(_labelled(open_rows.drop("component"), links)), "open-bands")
+        size = open_rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"))
+        open_rows = open_rows.join(size, ["band", "key"])
+        small = open_rows.filter(f"rows <= {LARGE_BAND}").selectExpr(
+            "rep", "component", "n", "m", "band", "key", "-1 AS band2", "0L AS key2"
         )
         large = (
-            open_rows.filter(f"n > {LARGE_BAND}")
+            open_rows.filter(f"rows > {LARGE_BAND}")
             .join(reps.select("rep", "bands"), "rep")
-            .selectExpr("rep", "component", "band", "key", "posexplode(bands) AS (band2, key2)")
+            .selectExpr("rep", "component", "n", "m", "band", "key", "posexplode(bands) AS (band2, key2)")
             .filter("band2 != band")
         )
         group = ["band", "key", "band2", "key2"]
-        rest = store(small.unionByName(large), "open-bands")
+        rest = store(small.unionByName(large), "open-pairs")
+        left, right = (
+            rest.select(*group, *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "m")])
+            for side in "ab"
+        )
         pairs = (
-            rest.select(*group, F.col("rep").alias("a"), F.col("component").alias("c"))
-            .join(rest.select(*group, F.col("rep").alias("b"), F.col("component").alias("d")), group)
-            .filter("a < b AND c != d")
-            .select("a", "b")
+            left.join(right, group)
+            .filter(
+                "rep_a < rep_b AND component_a != component_b AND "
+                f"{100 + PERCENT} * least(m_a, m_b) >= {PERCENT} * (n_a + n_b)"
+            )
+            .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
             .distinct()
         )
         links = store(links.unionByName(_confirm(docs, pairs, reps)), "found")
