@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.llm import binary_codes, curriculum, decontaminate, doubling, language, minhash, token_count, token_pack, url_cascade
+from leadtide.llm import binary_codes, curriculum, decontaminate, doubling, language, minhash, suffix_dedup, token_count, token_pack, url_cascade
 from leadtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,11 @@ def op5_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read_documents(spark, path)
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.remove_repeated(table(spark, sf_dir, "documents"))
