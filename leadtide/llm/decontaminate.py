@@ -38,45 +38,70 @@ def _tokens(text: str) -> str:
 
 
 def _seeds(masks) -> str:
-    """SQL: the hashes under every mask at every place, as (place, hash); ``t`` holds tokens."""
+    """SQL: the hashes of the tokens ``t`` under each mask in turn, at every place."""
     parts = []
     for number, mask in enumerate(masks):
         picked = ", ".join(f"t[i + {p}]" for p in mask)
         parts.append(
             f"CASE WHEN size(t) > {mask[-1]} THEN transform(sequence(0, size(t) - {mask[-1] + 1}), "
-            f"i -> named_struct('place', i, 'seed', xxhash64({number}, {picked}))) END"
+            f"i -> xxhash64({number}, {picked})) ELSE cast(array() AS array<bigint>) END"
         )
-    empty = "cast(array() AS array<struct<place: int, seed: bigint>>)"
-    return "concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + ")"
+    return f"concat({', '.join(parts)})"
+
+
+def _place(masks, at: str, n: str) -> str:
+    """SQL: the token place of entry ``at`` of ``_seeds`` of ``n`` tokens."""
+    rest, out = at, "CASE"
+    for mask in masks:
+        here = f"greatest({n} - {mask[-1]}, 0)"
+        out += f" WHEN {rest} < {here} THEN {rest}"
+        rest = f"({rest} - {here})"
+    return out + " END"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id`` of the documents of ``docs`` that hold an item, once each.
 
-    Null and empty texts hold nothing and match nothing; null ids are given back as null.
+    Null and empty texts hold nothing and match nothing; rows with a null id are not searched.
     Repeated documents or items match alike. Only ``doc_id``, ``text`` and ``item_id``,
     ``text`` are read. Empty tables give an empty one.
     """
+    docs = docs.dropna(subset=["doc_id"])
     items = store(
-        benchmark.selectExpr("item_id", f"{_tokens('text')} AS t").filter(f"size(t) >= {LEAST_TOKENS}"),
+        benchmark.selectExpr("item_id", f"{_tokens('text')} AS t")
+        .filter(f"item_id IS NOT NULL AND size(t) >= {LEAST_TOKENS}")
+        .distinct(),
         "items",
     )
     lengths = sorted(r[0] for r in items.filter(f"size(t) < {WINDOW}").select(F.size("t")).distinct().collect())
     masks = [*MASKS, *[tuple(range(n)) for n in lengths]]
     seeds = store(
-        items.withColumn("s", F.explode(F.expr(_seeds(masks))))
-        .selectExpr("item_id", "t AS item_t", "s.place AS item_place", "s.seed AS seed"),
+        items.selectExpr("item_id", "size(t) AS n", f"posexplode({_seeds(masks)}) AS (at, seed)")
+        .selectExpr("item_id", f"{_place(masks, 'at', 'n')} AS item_place", "seed"),
         "seeds",
     )
     n_seeds = seeds.count()
-    probes = docs.selectExpr("doc_id", f"{_tokens('text')} AS t").selectExpr(
-        "doc_id", "t", f"explode({_seeds(masks)}) AS s"
-    ).selectExpr("doc_id", "t", "s.place AS place", "s.seed AS seed")
-    return _verified(probes, F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds)
+    # Tokens stay behind: a place and a hash are all that is joined.
+    probes = (
+        docs.selectExpr("doc_id", f"{_tokens('text')} AS t")
+        .selectExpr("doc_id", "size(t) AS n", f"{_seeds(masks)} AS s")
+        .selectExpr("doc_id", "n", "posexplode(s) AS (at, seed)")
+    )
+    hits = store(
+        probes.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "seed")
+        .selectExpr("doc_id", f"{_place(masks, 'at', 'n')} AS place", "item_id", "item_place")
+        .distinct(),
+        "hits",
+    )
+    ids = hits.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_SEEDS:
+        ids = F.broadcast(ids)
+    found = docs.join(ids, "doc_id", "left_semi").selectExpr("doc_id", f"{_tokens('text')} AS t")
+    return _verified(hits.join(items.withColumnRenamed("t", "item_t"), "item_id").join(found, "doc_id"))
 
 
-def _verified(probes: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The hits on one diagonal are compared around the seed, in windows that hold its start."""
+def _verified(hits: DataFrame) -> DataFrame:
+    """The tokens on a hit's diagonal are compared around it."""
     shift = f"least(place, item_place, {WINDOW - 1})"
     length = f"least({WINDOW}, size(item_t))"
     near = f"{shift} + {WINDOW}"
@@ -86,8 +111,7 @@ def _verified(probes: DataFrame, seeds: DataFrame) -> DataFrame:
     )
     allowed = f"CASE WHEN size(item_t) < {WINDOW} THEN 0 ELSE {SUBSTITUTIONS} END"
     return (
-        probes.join(seeds, "seed")
-        .selectExpr("doc_id", "item_id", f"{equal} AS equal", f"{length} AS n", f"{allowed} AS allowed")
+        hits.selectExpr("doc_id", "item_id", f"{equal} AS equal", f"{length} AS n", f"{allowed} AS allowed")
         .filter(
             "size(equal) >= n AND exists(sequence(0, size(equal) - n), "
             "k -> aggregate(slice(equal, k + 1, n), 0, (s, x) -> s + x) >= n - allowed)"
@@ -102,7 +126,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The ids that go are joined to narrow ids first only if they are few; otherwise by shuffle.
     """
-    bad = store(matches(docs.dropna(subset=["doc_id"]), benchmark).select("doc_id").distinct(), "contaminated")
+    bad = store(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
     if bad.count() <= BROADCAST_SEEDS:
         bad = F.broadcast(bad)
     return row_struct(docs, "doc_id").join(bad, "doc_id", "left_anti").select("row.*")
