@@ -1,15 +1,15 @@
 """Near duplicates by b-bit MinHash.
 
-A document's set is its distinct three-word shingles. ``HASHES`` minima of the set give
-``BANDS`` band keys of ``ROWS`` minima each, and a packed signature of the ``BITS`` low bits
-of every minimum. Documents that share a band key are candidates; for a candidate pair the
+A document's set is its distinct shingles of as many words as the ``Rule`` says. ``HASHES``
+minima of the set give ``bands`` band keys of ``rows`` minima each, and a packed signature of
+the ``BITS`` low bits of every minimum. Documents that share a band key are candidates; for a candidate pair the
 share of equal slots, counted by bit operations on whole longs and corrected for chance
 collisions, estimates the similarity, and pairs far below the threshold go. What is left is
 confirmed on full sets.
 
 Two texts at the threshold miss each other in all bands with probability
-``(1 - 0.85 ** ROWS) ** BANDS``, under one in a million, and are turned away by the estimate,
-six deviations below, about as rarely.
+``(1 - threshold ** rows) ** bands``, under one in a million for both rules here, and are
+turned away by the estimate, six deviations below, about as rarely.
 
 Large groups: exact copies are one class with its smallest id. In a band, members are first
 paired with the smallest member alone. Only bands that still hold several components go on.
@@ -23,6 +23,7 @@ by a second band key, as two texts at the threshold share at least two bands but
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,9 @@ from leadtide.llm import hashing
 from leadtide.llm.common import components, ship
 from leadtide.workspace import store
 
-ROWS, BANDS = 5, 25
 HASHES = 128
 BITS = 4
 LONGS = HASHES * BITS // 64
-PERCENT = 85
-#: Estimates below this are turned away: six deviations under the threshold.
-ESTIMATE = 0.85 - 6 * (0.85 * 0.15 / HASHES) ** 0.5
 LARGE_BAND = 64
 BROADCAST_IDS = 1_000_000
 
@@ -49,13 +46,33 @@ _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 LOW_BITS = 0x1111111111111111
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, list[bytes]]:
+@dataclass(frozen=True)
+class Rule:
+    """Texts are near duplicates if ``percent`` of their shingles of ``words`` words agree."""
+
+    words: int = 5
+    percent: int = 80
+    rows: int = 4
+    bands: int = 32
+
+    @property
+    def estimate(self) -> float:
+        """Estimates below this are turned away: six deviations under the threshold."""
+        j = self.percent / 100
+        return j - 6 * (j * (1 - j) / HASHES) ** 0.5
+
+
+FIVE_WORDS = Rule()
+THREE_WORDS = Rule(words=3, percent=85, rows=5, bands=25)
+
+
+def shingles(text: str | None, length: int) -> tuple[np.ndarray, list[bytes]]:
     """Hashes of the distinct shingles, sorted, and the words."""
     words = (text or "").encode(errors="replace").lower().split()
     if not words:
         return np.empty(0, np.uint64), words
     hashes = hashing.word_hashes(words)
-    return np.unique(hashing.windows(hashes, min(3, len(words)))), words
+    return np.unique(hashing.windows(hashes, min(length, len(words)))), words
 
 
 def minima(found: np.ndarray) -> np.ndarray:
@@ -69,48 +86,56 @@ def minima(found: np.ndarray) -> np.ndarray:
     return out >> np.uint64(32)
 
 
-def _signatures(batches):
-    names = ["doc_id", "n", "key", "bands", "sig"]
-    lanes = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids, counts, keys, bands, sigs = part.column(0), [], [], [], []
-            for text in part.column(1).to_pylist():
-                found, words = shingles(text)
-                counts.append(len(found))
-                if not len(found):
-                    keys.append(None), bands.append(None), sigs.append(None)
-                    continue
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                least = minima(found)
-                rows = least[: ROWS * BANDS].reshape(BANDS, ROWS)
-                band = rows[:, 0]
-                for r in range(1, ROWS):
-                    band = hashing.join(band, rows[:, r])
-                bands.append(band.view(np.int64))
-                low = (least & np.uint64((1 << BITS) - 1)).reshape(LONGS, -1)
-                sigs.append(np.bitwise_or.reduce(low << lanes, axis=1).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(counts, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sigs, pa.list_(pa.int64())),
-                ],
-                names=names,
-            )
-
-
-def _sets(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [shingles(t)[0].view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "members"]
-            )
+def _signatures(rule: Rule):
+    length, n_rows, n_bands = rule.words, rule.rows, rule.bands
+
+    def run(batches):
+        names = ["doc_id", "n", "key", "bands", "sig"]
+        lanes = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, counts, keys, bands, sigs = part.column(0), [], [], [], []
+                for text in part.column(1).to_pylist():
+                    found, words = shingles(text, length)
+                    counts.append(len(found))
+                    if not len(found):
+                        keys.append(None), bands.append(None), sigs.append(None)
+                        continue
+                    keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                    least = minima(found)
+                    rows = least[: n_rows * n_bands].reshape(n_bands, n_rows)
+                    band = rows[:, 0]
+                    for r in range(1, n_rows):
+                        band = hashing.join(band, rows[:, r])
+                    bands.append(band.view(np.int64))
+                    low = (least & np.uint64((1 << BITS) - 1)).reshape(LONGS, -1)
+                    sigs.append(np.bitwise_or.reduce(low << lanes, axis=1).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids,
+                        pa.array(counts, pa.int64()),
+                        pa.array(keys, pa.binary()),
+                        pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(sigs, pa.list_(pa.int64())),
+                    ],
+                    names=names,
+                )
+
+    return run
+
+
+def _sets(length: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [shingles(t, length)[0].view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "members"]
+                )
+
+    return run
 
 
 def _estimate() -> str:
@@ -125,28 +150,28 @@ def _estimate() -> str:
     return f"({equal} - {chance}D) / {1 - chance}D"
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     """``id``, ``members`` of the documents in ``ids``, broadcast if they are few."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return (
         docs.select("doc_id", "text")
         .join(ids, "doc_id", "left_semi")
-        .mapInArrow(_sets, "id bigint, members array<bigint>")
+        .mapInArrow(_sets(rule.words), "id bigint, members array<bigint>")
     )
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame:
     """The links among candidate ``pairs`` (a, b), on full sets."""
     near = store(
         pairs.join(signatures.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(signatures.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .filter(f"{_estimate()} >= {ESTIMATE}")
+        .filter(f"{_estimate()} >= {rule.estimate}")
         .select("a", "b"),
         "pairs",
     )
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _shingle_sets(docs, ids)
+    sets = _shingle_sets(docs, ids, rule)
     return (
         near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b")
@@ -154,7 +179,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame) -> DataFr
             "a", "b", "size(set_a) + size(set_b) AS both",
             "size(array_intersect(set_a, set_b)) AS shared",
         )
-        .filter(f"100 * shared >= {PERCENT} * (both - shared)")
+        .filter(f"100 * shared >= {rule.percent} * (both - shared)")
         .select("a", "b")
         .distinct()
     )
@@ -177,18 +202,18 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(several, ["band", "key"], "left_semi")
 
 
-def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _possible(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """``members`` of mixed bands without those that can link with nothing there.
 
     Adds ``n``, the set's size, and ``m``, its shingles that some other member has too. A
-    link shares at most ``m`` shingles, with a set that is at least 0.85 as large and no
+    link shares at most ``m`` shingles, with a set that is at least ``percent`` as large and no
     smaller than the smallest of the band. What this rules out has no link at all, so it can
     be dropped, and then more shingles stand alone: two passes.
     """
     members = _mixed(members)
     for turn in range(2):
         ids = store(members.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
-        rows = store(_shingle_sets(docs, ids), "open-sets")
+        rows = store(_shingle_sets(docs, ids, rule), "open-sets")
         alone = (
             rows.select("id", F.explode("members").alias("shingle"))
             .groupBy("shingle")
@@ -206,13 +231,13 @@ def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
         known = members.select("rep", "band", "key", "component").join(sizes, "rep")
         least = known.groupBy("band", "key").agg(F.min("n").alias("least"))
         open_rows = known.join(least, ["band", "key"]).filter(
-            f"{100 + PERCENT} * m >= {PERCENT} * (n + greatest(least, {PERCENT / 100}D * n))"
+            f"{100 + rule.percent} * m >= {rule.percent} * (n + greatest(least, {rule.percent / 100}D * n))"
         )
         members = store(_mixed(open_rows.drop("least")), "open-bands")
     return members
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs``.
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing.
@@ -224,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     signed = store(
         docs.select("doc_id", "text").mapInArrow(
-            _signatures,
+            _signatures(rule),
             "doc_id bigint, n bigint, key binary, bands array<bigint>, sig array<bigint>",
         ),
         "signatures",
@@ -240,11 +265,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = store(bands.join(shared.filter("hub != last").drop("last"), ["band", "key"]), "bands")
 
     links = store(
-        _confirm(docs, members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps),
+        _confirm(docs, members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, rule),
         "found",
     )
     members = members.drop("hub")
-    open_rows = _possible(docs, store(_labelled(members, links), "placed"))
+    open_rows = _possible(docs, store(_labelled(members, links), "placed"), rule)
     if open_rows.limit(1).count():
         # The set with the fewest shingles of its own is the likeliest to link.
         hubs = open_rows.groupBy("band", "key").agg(
@@ -256,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
             .distinct()
         )
-        links = store(links.unionByName(_confirm(docs, second, reps)), "found")
+        links = store(links.unionByName(_confirm(docs, second, reps, rule)), "found")
         open_rows = store(_mixed(_labelled(open_rows.drop("component"), links)), "open-bands")
         size = open_rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"))
         open_rows = open_rows.join(size, ["band", "key"])
@@ -279,12 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             left.join(right, group)
             .filter(
                 "rep_a < rep_b AND component_a != component_b AND "
-                f"{100 + PERCENT} * least(m_a, m_b) >= {PERCENT} * (n_a + n_b)"
+                f"{100 + rule.percent} * least(m_a, m_b) >= {rule.percent} * (n_a + n_b)"
             )
             .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
             .distinct()
         )
-        links = store(links.unionByName(_confirm(docs, pairs, reps)), "found")
+        links = store(links.unionByName(_confirm(docs, pairs, reps, rule)), "found")
 
     found = components(links).withColumnRenamed("id", "rep")
     placed = classes.join(found, "rep", "left").select(

@@ -37,7 +37,7 @@ def query(function):
 
 @query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.THREE_WORDS)
 
 
 @query
