@@ -40,11 +40,6 @@ from leadtide.sources import files, testdata
 from leadtide.streaming import scores as streams
 from leadtide.workspace import fresh_path
 
-# Boosting rounds and net iterations of the registered queries; the functions' own
-# defaults are the reference's settings.
-ROUNDS = 20
-NET_ROUNDS = 50
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -136,6 +131,21 @@ def csv_report_scan(t: Tables) -> DataFrame:
     return files.read_report(t.spark, path, row_id=SEQ).select(*REPORT_COLUMNS)
 
 
+@query(
+    sql.after(
+        sql.REPORT,
+        f"SELECT row_number() OVER (ORDER BY src_seq) - 1 AS src_seq, {names(*[c for c in REPORT_COLUMNS if c not in (SEQ, PRODUCT)])},"
+        " product || ' 12\" x, y' AS product FROM report",
+    )
+)
+def csv_report_numbered(t: Tables) -> DataFrame:
+    """A report without row numbers, with quote marks and commas in its cells."""
+    path = t.path("report-csv")
+    odd = t.report.withColumn(PRODUCT, F.concat(PRODUCT, F.lit(' 12" x, y')))
+    files.write_report(odd.repartitionByRange(SEQ).sortWithinPartitions(SEQ), path)
+    return files.read_report(t.spark, path).select(*REPORT_COLUMNS)
+
+
 @query(sql.after(sql.ENRICH, f"SELECT {names(CUSTOMER, *INDUSTRY)} FROM enrich"))
 def csv_enrich_scan(t: Tables) -> DataFrame:
     path = t.path("enrich-csv")
@@ -695,28 +705,28 @@ def _tested(t: Tables, pipeline, label: str) -> DataFrame:
 
 def _refitted(t: Tables, label: str) -> DataFrame:
     scaled = t.both[1]
-    model = models.fit(models.boosted_classifier(rounds=ROUNDS), scaled, label)
+    model = models.fit(models.boosted_classifier(), scaled, label)
     return models.predict_class(model, scaled, "pred").select(SEQ, QUOTE, label, "pred", "pred_prob")
 
 
 @query()
 def mlp_3d(t: Tables) -> DataFrame:
-    return _tested(t, models.neural_net(rounds=NET_ROUNDS), "close_3d")
+    return _tested(t, models.neural_net(), "close_3d")
 
 
 @query()
 def mlp_2w(t: Tables) -> DataFrame:
-    return _tested(t, models.neural_net(rounds=NET_ROUNDS), "close_2w")
+    return _tested(t, models.neural_net(), "close_2w")
 
 
 @query()
 def gbt_3d(t: Tables) -> DataFrame:
-    return _tested(t, models.boosted_classifier(rounds=ROUNDS), "close_3d")
+    return _tested(t, models.boosted_classifier(), "close_3d")
 
 
 @query()
 def gbt_2w(t: Tables) -> DataFrame:
-    return _tested(t, models.boosted_classifier(rounds=ROUNDS), "close_2w")
+    return _tested(t, models.boosted_classifier(), "close_2w")
 
 
 @query()
@@ -732,39 +742,39 @@ def gbt_full_2w(t: Tables) -> DataFrame:
 @query()
 def value_gbt(t: Tables) -> DataFrame:
     """Test error of the value model."""
-    return lead_value.test_error(t.both_values[1], rounds=ROUNDS)
+    return lead_value.test_error(t.both_values[1])
 
 
 @query()
 def value_gbt_full(t: Tables) -> DataFrame:
     raw, scaled = t.both_values
-    return lead_value.full_values(raw, scaled, rounds=ROUNDS).select(
+    return lead_value.full_values(raw, scaled).select(
         SEQ, QUOTE, AMOUNT, lead_value.PREDICTED
     )
 
 
 @query()
 def scored_quotes(t: Tables) -> DataFrame:
-    return close_rate.full_predictions(*t.both, rounds=ROUNDS)
+    return close_rate.full_predictions(*t.both)
 
 
 @query()
 def model_report(t: Tables) -> DataFrame:
     return close_rate.model_reports(
-        t.both[1], rounds=ROUNDS, net_rounds=NET_ROUNDS, partitions=t.partitions
+        t.both[1], partitions=t.partitions
     )
 
 
 @query()
 def feature_importance(t: Tables) -> DataFrame:
     train, _ = close_rate.train_and_test(t.both[1])
-    model = models.fit(models.boosted_classifier(rounds=ROUNDS), train, "close_2w")
+    model = models.fit(models.boosted_classifier(), train, "close_2w")
     return models.split_counts(t.spark, model)
 
 
 @query()
 def new_customer_test_scores(t: Tables) -> DataFrame:
-    scored = close_rate.new_customer_test_scores(*t.both, rounds=ROUNDS)
+    scored = close_rate.new_customer_test_scores(*t.both)
     return scored.select(SEQ, QUOTE, "close_2w", "pred", "pred_prob")
 
 
@@ -772,7 +782,7 @@ def new_customer_test_scores(t: Tables) -> DataFrame:
 def model_roundtrip(t: Tables) -> DataFrame:
     """Scores before and after the model was saved and loaded."""
     train, test = close_rate.train_and_test(t.both[1])
-    model = models.fit(models.boosted_classifier(rounds=ROUNDS), train, "close_3d")
+    model = models.fit(models.boosted_classifier(), train, "close_3d")
     path = t.path("model")
     models.save_model(model, path)
     before = models.predict_class(model, test, "before")
@@ -784,7 +794,7 @@ def model_roundtrip(t: Tables) -> DataFrame:
 def _trained_from_json(t: Tables):
     source, target = t.path("training-json"), t.path("trainer-model")
     files.training_rows(t.both[1]).write.json(source)
-    trainer.train_from_json(t.spark, source, target, rounds=ROUNDS)
+    trainer.train_from_json(t.spark, source, target)
     return models.load_model(target)
 
 

@@ -10,7 +10,7 @@ REPORT = """report AS (
     o_orderdate AS request_ts,
     CASE WHEN o_orderstatus <> 'P'
       THEN o_orderdate + to_hours(CAST((o_orderkey * 37) % 720 AS INTEGER)) END AS accept_ts,
-    'Custom ' || p_type AS product,
+    'Custom ' || p_name AS product,
     CASE WHEN o_orderstatus <> 'P'
       THEN CAST(o_orderkey - o_orderkey % 2 AS VARCHAR)
         || CASE WHEN o_orderkey % 3 = 0 THEN '-A' ELSE '' END END AS order_number,
@@ -18,8 +18,8 @@ REPORT = """report AS (
     CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS paid_amount,
     CASE WHEN o_orderkey % 11 <> 0 THEN s_name END AS sales_rep
   FROM orders
-  JOIN part ON p_partkey = o_orderkey % 200
-  JOIN supplier ON s_suppkey = o_orderkey % 10
+  JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
+  JOIN supplier ON s_suppkey = o_orderkey % (SELECT count(*) FROM supplier)
   JOIN (VALUES (0), (1)) AS payments(part_no) ON part_no = 0 OR o_orderkey % 7 = 0)"""
 
 ENRICH = """enrich AS (

@@ -29,25 +29,30 @@ def _null_every(n: int, value):
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    """Quotes from ``orders``: each once, every seventh with a second payment row."""
+    """Quotes from ``orders``: each once, every seventh with a second payment row.
+
+    Parts and suppliers are dealt to the orders in turn, all of them: their keys rise from 0
+    without holes.
+    """
     orders = table(spark, folder, "orders")
-    part = table(spark, folder, "part").select("p_partkey", "p_type")
+    part = table(spark, folder, "part").select("p_partkey", "p_name")
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    parts, suppliers = max(part.count(), 1), max(supplier.count(), 1)
     key = F.col("o_orderkey")
     closed = F.col("o_orderstatus") != "P"
     hours = F.make_dt_interval(hours=((key * 37) % 720).cast("int"))
     suffix = F.when(key % 3 == 0, "-A").otherwise("")
     payments = F.when(key % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return (
-        orders.join(part, F.col("p_partkey") == key % 200)
-        .join(supplier, F.col("s_suppkey") == key % 10)
+        orders.join(part, F.col("p_partkey") == key % parts)
+        .join(supplier, F.col("s_suppkey") == key % suppliers)
         .withColumn("part_no", F.explode(payments))
         .select(
             (key * 10 + F.col("part_no")).cast("bigint").alias(SEQ),
             _null_every(211, key.cast("string")).alias(QUOTE),
             F.col("o_orderdate").cast("timestamp_ntz").alias(REQUEST),
             F.when(closed, F.col("o_orderdate").cast("timestamp_ntz") + hours).alias(ACCEPT),
-            F.concat(F.lit("Custom "), "p_type").alias(PRODUCT),
+            F.concat(F.lit("Custom "), "p_name").alias(PRODUCT),
             F.when(closed, F.concat((key - key % 2).cast("string"), suffix)).alias(ORDER),
             _null_every(97, F.col("o_custkey")).alias(CUSTOMER),
             F.when(closed, F.col("o_totalprice").cast(MONEY)).alias(AMOUNT),
@@ -57,7 +62,8 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def enrichment(spark: SparkSession, folder: str) -> DataFrame:
-    """Attributes of four customers in five."""
+    """Attributes of four customers in five: the fifth is for the rows of a left join that
+    meet nothing."""
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation")
     region = table(spark, folder, "region")

@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for local sessions without a setting, by application.
+_MADE: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder of the session."""
@@ -19,10 +22,11 @@ def folder(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="leadtide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _MADE:
+        _MADE[application] = tempfile.mkdtemp(prefix="leadtide-")
+        spark.sparkContext.setCheckpointDir(_MADE[application])
+    return _MADE[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
