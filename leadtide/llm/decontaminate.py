@@ -37,25 +37,37 @@ def _tokens(text: str) -> str:
     return f"transform(regexp_extract_all(lower({text}), '{TOKEN}', 0), w -> xxhash64(w))"
 
 
-def _seeds(masks) -> str:
-    """SQL: the hashes under every mask at every place, as (place, hash); ``t`` holds tokens."""
-    parts = []
+def _with_seeds(rows: DataFrame, masks, only: str | None = None) -> DataFrame:
+    """``rows`` with a row for every ``place`` in the tokens ``t`` and mask, and its ``seed``.
+
+    ``only``: SQL of the length an item must have for a mask, with ``{n}`` and ``{spaced}``. The outer
+    explode keeps Spark from adding a filter that would split every text once more.
+    """
+    seeds = []
     for number, mask in enumerate(masks):
-        picked = ", ".join(f"t[i + {p}]" for p in mask)
-        parts.append(
-            f"CASE WHEN size(t) > {mask[-1]} THEN transform(sequence(0, size(t) - {mask[-1] + 1}), "
-            f"i -> named_struct('place', i, 'seed', xxhash64({number}, {picked}))) END"
-        )
-    empty = "cast(array() AS array<struct<place: int, seed: bigint>>)"
-    return "concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + ")"
+        fits = f"place + {mask[-1]} < size(t)"
+        if only:
+            fits += " AND " + only.format(n=len(mask), spaced=str(number < len(MASKS)))
+        picked = ", ".join(f"get(t, place + {p})" for p in mask)
+        seeds.append(f"CASE WHEN {fits} THEN xxhash64({number}, {picked}) END")
+    places = f"CASE WHEN size(t) >= {LEAST_TOKENS} THEN sequence(0, size(t) - {LEAST_TOKENS}) END"
+    return (
+        rows.withColumn("place", F.explode_outer(F.expr(places)))
+        .withColumn("seed", F.explode(F.expr(f"array({', '.join(seeds)})")))
+        .filter("seed IS NOT NULL")
+    )
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """``doc_id``, ``item_id`` of the documents of ``docs`` that hold an item, once each.
 
     Null and empty texts hold nothing and match nothing; null ids are given back as null.
     Repeated documents or items match alike. Only ``doc_id``, ``text`` and ``item_id``,
     ``text`` are read. Empty tables give an empty one.
+
+    Up to ``broadcast_seeds`` item hashes are broadcast. Beyond, places and hashes alone meet by
+    shuffle, and tokens are fetched by id for the hits; the comparison is exact, so rows that
+    share an id cannot mislead it.
     """
     items = store(
         benchmark.selectExpr("item_id", f"{_tokens('text')} AS t").filter(f"size(t) >= {LEAST_TOKENS}"),
@@ -63,33 +75,46 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     lengths = sorted(r[0] for r in items.filter(f"size(t) < {WINDOW}").select(F.size("t")).distinct().collect())
     masks = [*MASKS, *[tuple(range(n)) for n in lengths]]
+    only = f"CASE WHEN {{spaced}} THEN size(t) >= {WINDOW} ELSE size(t) = {{n}} END"
     seeds = store(
-        items.withColumn("s", F.explode(F.expr(_seeds(masks))))
-        .selectExpr("item_id", "t AS item_t", "s.place AS item_place", "s.seed AS seed"),
+        _with_seeds(items, masks, only).selectExpr("item_id", "t AS item_t", "place AS item_place", "seed"),
         "seeds",
     )
-    n_seeds = seeds.count()
-    probes = docs.selectExpr("doc_id", f"{_tokens('text')} AS t").selectExpr(
-        "doc_id", "t", f"explode({_seeds(masks)}) AS s"
-    ).selectExpr("doc_id", "t", "s.place AS place", "s.seed AS seed")
-    return _verified(probes, F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds)
+    tokens = docs.selectExpr("doc_id", f"{_tokens('text')} AS t")
+    if seeds.count() <= broadcast_seeds:
+        return _verified(_with_seeds(tokens, masks).join(F.broadcast(seeds), "seed"))
+    tokens = store(tokens, "tokens")
+    hits = (
+        _with_seeds(tokens, masks)
+        .select("doc_id", "place", "seed")
+        .join(seeds.select("item_id", "item_place", "seed"), "seed")
+        .selectExpr("doc_id AS d", "place", "item_id AS i", "item_place")
+        .distinct()
+    )
+    whole = items.selectExpr("item_id", "t AS item_t").distinct()
+    return _verified(
+        hits.join(whole, F.expr("i <=> item_id")).join(tokens, F.expr("d <=> doc_id"))
+    )
 
 
-def _verified(probes: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The hits on one diagonal are compared around the seed, in windows that hold its start."""
+def _verified(hits: DataFrame) -> DataFrame:
+    """The hits on one diagonal are compared around the seed, in windows that hold its start.
+
+    The compared stretch ends where the document or the item ends: a window must lie in both.
+    """
     shift = f"least(place, item_place, {WINDOW - 1})"
     length = f"least({WINDOW}, size(item_t))"
-    near = f"{shift} + {WINDOW}"
+    near = f"least({shift} + {WINDOW}, size(t) - place + {shift}, size(item_t) - item_place + {shift})"
     equal = (
         f"zip_with(slice(t, place - {shift} + 1, {near}), slice(item_t, item_place - {shift} + 1, {near}), "
-        "(x, y) -> int(coalesce(x = y, false)))"
+        "(x, y) -> int(x = y))"
     )
     allowed = f"CASE WHEN size(item_t) < {WINDOW} THEN 0 ELSE {SUBSTITUTIONS} END"
     return (
-        probes.join(seeds, "seed")
+        hits.filter("place < size(t) AND item_place < size(item_t)")
         .selectExpr("doc_id", "item_id", f"{equal} AS equal", f"{length} AS n", f"{allowed} AS allowed")
         .filter(
-            "size(equal) >= n AND exists(sequence(0, size(equal) - n), "
+            "size(equal) >= n AND exists(sequence(0, greatest(size(equal) - n, 0)), "
             "k -> aggregate(slice(equal, k + 1, n), 0, (s, x) -> s + x) >= n - allowed)"
         )
         .select("doc_id", "item_id")

@@ -43,7 +43,11 @@ def test_decontamination_equals_all_windows(spark):
     item_tokens = {k: TOKEN.findall((t or "").lower()) for k, t in items.items()}
     want = {(i, k) for i, t in tokens.items() for k, x in item_tokens.items() if plain.holds(t, x)}
     got = [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()]
+    want |= {(i, None) for i, t in tokens.items() if plain.holds(t, tokens[3])}
+    want |= {(None, k) for k, x in item_tokens.items() if plain.holds(item_tokens[0], x)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 20
+    shuffled = decontaminate.matches(docs, bench, broadcast_seeds=0)
+    assert {(r.doc_id, r.item_id) for r in shuffled.collect()} == want and shuffled.count() == len(want)
     bad = {i for i, _ in want}
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns
