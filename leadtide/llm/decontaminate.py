@@ -29,7 +29,12 @@ LEAST_TOKENS = 5
 #: Fixed positions of the masks.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 TOKEN = r"[\\p{L}\\p{N}]+"
-BROADCAST_SEEDS = 500_000
+#: Tokens of a block, and those kept around it.
+BLOCK, MARGIN = 64, WINDOW - 1
+#: Item hashes that are broadcast at most: below 0.8 kB each with their block, 80 MB.
+BROADCAST_SEEDS = 100_000
+#: Contaminated ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 500_000
 
 
 def _tokens(text: str) -> str:
@@ -37,11 +42,25 @@ def _tokens(text: str) -> str:
     return f"transform(regexp_extract_all(lower({text}), '{TOKEN}', 0), w -> xxhash64(w))"
 
 
-def _with_seeds(rows: DataFrame, masks, only: str | None = None) -> DataFrame:
-    """``rows`` with a row for every ``place`` in the tokens ``t`` and mask, and its ``seed``.
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` and blocks of its tokens: ``t``, and the places ``first`` to ``last`` it answers for.
 
-    ``only``: SQL of the length an item must have for a mask, with ``{n}`` and ``{spaced}``. The outer
-    explode keeps Spark from adding a filter that would split every text once more.
+    A block holds the tokens around its places that a comparison may need, so that a long text
+    never stands in more than one row. The outer explode keeps Spark from adding a filter that
+    would split every text once more.
+    """
+    blocks = (
+        f"CASE WHEN size(t) >= {LEAST_TOKENS} THEN transform(sequence(0, size(t) - 1, {BLOCK}), s -> named_struct("
+        f"'first', least(s, {MARGIN}), 'last', least(s, {MARGIN}) + least({BLOCK}, size(t) - s) - 1, "
+        f"'t', slice(t, greatest(s - {MARGIN}, 0) + 1, least(s, {MARGIN}) + {BLOCK + MARGIN}))) END"
+    )
+    return rows.select(key, F.explode_outer(F.expr(blocks)).alias("b")).select(key, "b.first", "b.last", "b.t")
+
+
+def _with_seeds(blocks: DataFrame, masks, only: str | None = None) -> DataFrame:
+    """``blocks`` with a row for every ``place`` it answers for and mask, and its ``seed``.
+
+    ``only``: SQL of the length an item must have for a mask, with ``{n}`` and ``{spaced}``.
     """
     seeds = []
     for number, mask in enumerate(masks):
@@ -50,9 +69,8 @@ def _with_seeds(rows: DataFrame, masks, only: str | None = None) -> DataFrame:
             fits += " AND " + only.format(n=len(mask), spaced=str(number < len(MASKS)))
         picked = ", ".join(f"get(t, place + {p})" for p in mask)
         seeds.append(f"CASE WHEN {fits} THEN xxhash64({number}, {picked}) END")
-    places = f"CASE WHEN size(t) >= {LEAST_TOKENS} THEN sequence(0, size(t) - {LEAST_TOKENS}) END"
     return (
-        rows.withColumn("place", F.explode_outer(F.expr(places)))
+        blocks.withColumn("place", F.explode_outer(F.expr("sequence(first, last)")))
         .withColumn("seed", F.explode(F.expr(f"array({', '.join(seeds)})")))
         .filter("seed IS NOT NULL")
     )
@@ -66,13 +84,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADC
     ``text`` are read. Empty tables give an empty one.
 
     Up to ``broadcast_seeds`` item hashes are broadcast. Beyond, places and hashes alone meet by
-    shuffle, and tokens are fetched by id for the hits; the comparison is exact, so rows that
-    share an id cannot mislead it.
+    shuffle, and tokens are fetched for the hits by id and hash of the block; the comparison is
+    exact, so rows that share an id cannot mislead it.
     """
-    items = store(
-        benchmark.selectExpr("item_id", f"{_tokens('text')} AS t").filter(f"size(t) >= {LEAST_TOKENS}"),
-        "items",
-    )
+    items = store(_blocks(benchmark.selectExpr("item_id", f"{_tokens('text')} AS t"), "item_id"), "items")
+    # A block of fewer tokens than a window is a whole item.
     lengths = sorted(r[0] for r in items.filter(f"size(t) < {WINDOW}").select(F.size("t")).distinct().collect())
     masks = [*MASKS, *[tuple(range(n)) for n in lengths]]
     only = f"CASE WHEN {{spaced}} THEN size(t) >= {WINDOW} ELSE size(t) = {{n}} END"
@@ -80,20 +96,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADC
         _with_seeds(items, masks, only).selectExpr("item_id", "t AS item_t", "place AS item_place", "seed"),
         "seeds",
     )
-    tokens = docs.selectExpr("doc_id", f"{_tokens('text')} AS t")
+    blocks = _blocks(docs.selectExpr("doc_id", f"{_tokens('text')} AS t"), "doc_id")
     if seeds.count() <= broadcast_seeds:
-        return _verified(_with_seeds(tokens, masks).join(F.broadcast(seeds), "seed"))
-    tokens = store(tokens, "tokens")
+        return _verified(_with_seeds(blocks, masks).join(F.broadcast(seeds), "seed"))
+    blocks = store(blocks.withColumn("block", F.xxhash64("t")), "blocks")
+    seeds = seeds.withColumn("item_block", F.xxhash64("item_t"))
     hits = (
-        _with_seeds(tokens, masks)
-        .select("doc_id", "place", "seed")
-        .join(seeds.select("item_id", "item_place", "seed"), "seed")
-        .selectExpr("doc_id AS d", "place", "item_id AS i", "item_place")
+        _with_seeds(blocks, masks)
+        .selectExpr("doc_id AS d", "block AS db", "place", "seed")
+        .join(seeds.selectExpr("item_id AS i", "item_block AS ib", "item_place", "seed"), "seed")
+        .select("d", "db", "place", "i", "ib", "item_place")
         .distinct()
     )
-    whole = items.selectExpr("item_id", "t AS item_t").distinct()
+    stretches = seeds.select("item_id", "item_block", "item_t").distinct()
     return _verified(
-        hits.join(whole, F.expr("i <=> item_id")).join(tokens, F.expr("d <=> doc_id"))
+        hits.join(stretches, F.expr("i <=> item_id AND ib = item_block"))
+        .join(blocks, F.expr("d <=> doc_id AND db = block"))
     )
 
 
@@ -101,6 +119,7 @@ def _verified(hits: DataFrame) -> DataFrame:
     """The hits on one diagonal are compared around the seed, in windows that hold its start.
 
     The compared stretch ends where the document or the item ends: a window must lie in both.
+    A block holds all tokens up to a window's length away from its places.
     """
     shift = f"least(place, item_place, {WINDOW - 1})"
     length = f"least({WINDOW}, size(item_t))"
@@ -128,6 +147,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The ids that go are joined to narrow ids first only if they are few; otherwise by shuffle.
     """
     bad = store(matches(docs.dropna(subset=["doc_id"]), benchmark).select("doc_id").distinct(), "contaminated")
-    if bad.count() <= BROADCAST_SEEDS:
+    if bad.count() <= BROADCAST_IDS:
         bad = F.broadcast(bad)
     return row_struct(docs, "doc_id").join(bad, "doc_id", "left_anti").select("row.*")

@@ -30,6 +30,10 @@ def planted():
             texts[50 + 10 * k + replaced] = " ".join([*plain.words(rng, 20), *w, *plain.words(rng, 20)])
     texts[200] = "Before, " + " ".join(items[6]).upper() + "! after"
     texts[201] = " ".join(items[6][:6])
+    items[9] = plain.words(rng, 300)
+    for k in range(40):  # windows across the edges of blocks, in texts of several blocks
+        part = items[9][7 * k : 7 * k + 13 - (k % 8 == 7)]
+        texts[300 + k] = " ".join([*plain.words(rng, 45 + 2 * k), *part, *plain.words(rng, k // 8)])
     texts |= {202: None, 203: "", 204: "!!", 205: " ".join(items[0])}
     return texts, {k: v and " ".join(v) for k, v in items.items()}
 
