@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtide.llm import binary_codes, curriculum, decontaminate, doubling, language, minhash, suffix_dedup, token_count, token_pack, url_cascade
+from leadtide.llm import (
+    binary_codes,
+    curriculum,
+    decontaminate,
+    doubling,
+    language,
+    minhash,
+    prefix_trie,
+    suffix_dedup,
+    token_count,
+    token_pack,
+    url_cascade,
+    warc,
+    whitening,
+)
 from leadtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +174,75 @@ m AS (
 SELECT a.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
 FROM a LEFT JOIN m USING (page_id)
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(paths)
+
+
+#: CRC-32 of the decimal digits, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))))"""
+ORACLES["op11_prefix_trie"] = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, o.k, o.role, o.text, 0 AS own FROM c JOIN o ON o.conv_id = c.base AND o.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.k, o.role, o.text, 1 FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h),
+t AS (
+  SELECT conv_id, row_number() OVER w AS d, strlen(text)::BIGINT AS bytes,
+    sha256(string_agg(sha256(role || chr(0) || text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, k)),
+p AS (
+  SELECT conv_id, d, bytes, node, lag(node, 1, 'root') OVER (PARTITION BY conv_id ORDER BY d) AS parent,
+    d = max(d) OVER (PARTITION BY conv_id) AS ends FROM t
+  UNION ALL
+  SELECT conv_id, 0, 0, 'root', NULL, conv_id NOT IN (SELECT conv_id FROM t) FROM c),
+n AS (
+  SELECT node, any_value(parent) AS parent, any_value(d)::BIGINT AS depth, min(conv_id)::BIGINT AS conv_id,
+    count(*)::BIGINT AS n_convs, any_value(bytes) AS bytes,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+  FROM p GROUP BY node),
+k AS (SELECT parent AS node, count(*)::BIGINT AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+s AS (
+  SELECT p.node, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens,
+    count(*) FILTER (n.node NOT IN (SELECT node FROM k))::BIGINT AS n_leaves
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+  s.n_leaves, s.saved_tokens, sha256(n.ids) AS ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n u ON u.node = n.parent
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
+    return rows.select(
+        "row.vec_id", "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op13_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM m
+"""
