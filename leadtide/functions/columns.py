@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leadtide.schema import TIMESTAMP_FORMAT
 
 SECONDS_PER_DAY = 86400
+#: Text in ``TIMESTAMP_FORMAT``.
+TIMESTAMP_SHAPE = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
 CLOSED_WITHIN = {"close_3d": 4, "close_2w": 15}
 SMALLEST_VALUE = 20
 SPLIT_SEED = 31
@@ -49,15 +51,6 @@ def order_flag(amount: Column) -> Column:
     return F.when(amount == 0, 0).otherwise(1)
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    """part / whole as double, 0 where the whole is 0 or missing."""
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
-
-
-def zero_to(col: Column, other: Column) -> Column:
-    return F.when(col == 0, other).otherwise(col)
-
-
 def clip_small(value: Column, smallest: float = SMALLEST_VALUE) -> Column:
     return F.when(value < smallest, F.lit(0.0)).otherwise(value)
 

@@ -1,0 +1,222 @@
+"""Multi-line CSV cells and JSON arrays, split anywhere, against Spark's single-task readers."""
+
+import json
+import random
+from datetime import datetime
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from leadtide.schema import FEATURES, REPORT_HEADER
+from leadtide.sources import files, records
+
+HEADER = "Quote.No,Note,Request.Date,Invoice.Accept.Date,Product,Order.Number,Customer.No,Paid.Amount,Sales.Rep\n"
+
+
+def small_splits(spark, size):
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    session.conf.set("spark.sql.files.minPartitionNum", "1")
+    return session
+
+
+def quoted(cell):
+    return '"' + cell.replace('"', '""') + '"'
+
+
+def cell(rng):
+    kind = rng.random()
+    if kind < 0.5:
+        return f"plain {rng.randrange(100)}"
+    if kind < 0.6:
+        return 'a 5" pipe'  # a mark inside an unquoted cell
+    if kind < 0.7:
+        return quoted("x, y")
+    if kind < 0.95:
+        return quoted("".join(rng.choice(['\n', '"', ",", "ab", "ë", " "]) for _ in range(rng.randrange(12))))
+    return quoted("line\n" * rng.randrange(60))
+
+
+def csv_text(rng, rows, columns=3):
+    lines = [",".join(f"h{i}" for i in range(columns))]
+    lines += [",".join([f"r{k}", *[cell(rng) for _ in range(columns - 1)]]) for k in range(rows)]
+    return "\n".join(lines) + ("\n" if rng.random() < 0.5 else "")
+
+
+@pytest.mark.parametrize("seed, size", [(0, 60), (1, 200), (2, 999), (3, 100_000)])
+def test_cells_with_line_breaks_in_many_splits(spark, tmp_path, seed, size):
+    rng = random.Random(seed)
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(csv_text(rng, 60).encode("latin-1"))
+    session = small_splits(spark, size)
+    header = {f"h{i}": f"c{i}" for i in range(3)}
+    want = session.read.options(header=True, encoding="ISO-8859-1", multiLine=True, **files.CSV).csv(str(tmp_path))
+    got = files.read_text_csv(session, str(tmp_path), header, multi_line=True)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    lines, starts = records.csv_records(session, str(tmp_path))
+    numbers = sorted((r[0], r[1]) for r in lines.select(records.FILE, "record").collect())
+    assert len(numbers) == len(set(numbers)) == 183 and {n for _, n in numbers} == set(range(61))
+    assert size > 10_000 or starts.count() >= 9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='ab,"\n ', max_size=40), st.integers(0, 5))
+def test_state_of_a_line_does_not_depend_on_the_split(text, at):
+    """The lines one after another end as the text up to there does."""
+    import csv
+    import io
+
+    state = records.OUTSIDE
+    lines = text.encode().split(b"\n")
+    for line in lines:
+        state = records._ends_inside(line, state)
+    # A closing mark is added if one is missing: then the last cell ends in it.
+    rows = list(csv.reader(io.StringIO(text + "\nEND"), strict=False))
+    ended = bool(rows) and rows[-1] == ["END"]
+    if '"' not in text or all(c not in text for c in ('"a', '"b', '" ')):
+        assert (state == records.OUTSIDE) == ended
+
+
+def test_row_numbers_and_blank_lines(spark, tmp_path):
+    body = 'Q{0},"a\n\nb",2017-01-02 00:00:00,,"Box\n{0}",1,7.0,1.50,Ann\n'
+    for name, first in (("a", 0), ("b", 30)):
+        text = HEADER + "".join(body.format(i) + ("\n  \n" if i % 4 == 0 else "") for i in range(first, first + 30))
+        (tmp_path / f"{name}.csv").write_bytes(text.replace("\n", "\r\n").encode("latin-1") if name == "b" else text.encode())
+    for size in (70, 333, 1 << 20):
+        session = small_splits(spark, size)
+        rows = files.read_report(session, str(tmp_path), multi_line=True).orderBy("src_seq").collect()
+        assert [(r["src_seq"], r["quote_no"], r["customer_no"]) for r in rows] == [(i, f"Q{i}", 7) for i in range(60)]
+        assert rows[0]["product"] == "Box\n0" and rows[40]["product"].replace("\r", "") == "Box\n40"
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "large.csv")
+    with open(path, "w", encoding="latin-1") as out:
+        out.write("h0,h1,h2\n")
+        for i in range(150_000):
+            out.write(f'r{i},"two\nlines, ""{i % 7}""",{"x" * (i % 90)}\n')
+    session = small_splits(spark, 1 << 20)
+    header = {f"h{i}": f"c{i}" for i in range(3)}
+    got = files.read_text_csv(session, path, header, multi_line=True)
+    _, starts = records.csv_records(session, path)
+    assert starts.count() >= 8
+    want = session.read.options(header=True, encoding="ISO-8859-1", multiLine=True, **files.CSV).csv(path)
+    digest = [F.count("*"), F.sum(F.xxhash64("c0", "c1", "c2").cast("decimal(38,0)"))]
+    assert got.agg(*digest).first() == want.toDF("c0", "c1", "c2").agg(*digest).first()
+
+
+def test_headers_must_agree_and_hold_the_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("h0,h1\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = files.read_text_csv(spark, str(tmp_path), {"h1": "x"}, multi_line=True)
+    assert [tuple(r) for r in rows.collect()] == [("2",)]
+    with pytest.raises(ValueError, match="not in the header"):
+        files.read_text_csv(spark, str(tmp_path), {"h7": "x"}, multi_line=True)
+    (tmp_path / "b.csv").write_text("h1,h0\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        files.read_text_csv(spark, str(tmp_path), {"h1": "x"}, multi_line=True)
+    assert files.read_text_csv(spark, str(tmp_path / "empty.csv"), {"h1": "x"}, multi_line=True).count() == 0
+
+
+def test_keys_with_a_point_and_amounts_with_too_many_decimals(spark, tmp_path):
+    def read(customer, amount, multi_line):
+        path = tmp_path / f"{customer}-{amount}.csv"
+        path.write_text(HEADER + f"Q1,x,2017-01-02 00:00:00,,Box,1,{customer},{amount},Ann\n")
+        row = files.read_report(spark, str(path), multi_line=multi_line).first()
+        return row["customer_no"], row["paid_amount"] and float(row["paid_amount"])
+
+    for multi_line in (False, True):
+        assert read("7.0", "5.500", multi_line) == (7, 5.5)
+        assert read("12.", "1e2", multi_line) == (12, 100.0)
+        assert read("", "", multi_line) == (None, None)
+        for customer, amount in (("7.5", "1"), ("x7", "1"), ("7", "5.555"), ("7", "five")):
+            with pytest.raises(Exception, match="bad (customer_no|paid_amount)"):
+                read(customer, amount, multi_line)
+    path = tmp_path / "e.csv"
+    path.write_text("Customer.No,industry_category,industry_sub_category,range_employees,range_revenue\n7.0,a,b,c,d\n")
+    assert files.read_enrichment(spark, str(path)).first()["customer_no"] == 7
+
+
+def test_rejected_rows(spark, tmp_path):
+    good = 'Q{0},x,2017-01-02 00:00:00,NA,"Box\n{0}",1,7.0,1.25,Ann\n'
+    text = HEADER + good.format(0)
+    text += "Q1,x,02/01/2017,,Box,1,7,1,Ann\n"  # a bad date
+    text += "Q2,x,2017-01-02 00:00:00\n"  # too short
+    text += "Q3,x,2017-01-02 00:00:00,,Box,1,7,1,Ann,more\n"  # too long
+    text += good.format(4)
+    text += '"Q5",x,2017-13-02 00:00:00,,"a\nb",1,key,1.234,Ann\n'  # three bad cells
+    text += good.format(6)
+    (tmp_path / "r.csv").write_bytes(text.encode("latin-1"))
+    for size in (50, 1 << 20):
+        session = small_splits(spark, size)
+        rows, rejects = files.read_report_checked(session, str(tmp_path))
+        rows = rows.orderBy("src_seq").collect()
+        assert [(r["src_seq"], r["quote_no"], r["accept_ts"]) for r in rows] == [(0, "Q0", None), (4, "Q4", None), (6, "Q6", None)]
+        assert rows[0]["request_ts"] == datetime(2017, 1, 2) and rows[0]["customer_no"] == 7
+        rejects = rejects.orderBy("src_seq").collect()
+        assert [(r["src_seq"], r["record"], r["reasons"]) for r in rejects] == [
+            (1, 2, ["request_ts"]), (2, 3, ["cells"]), (3, 4, ["cells"]), (5, 6, ["request_ts", "customer_no", "paid_amount"]),
+        ]
+        assert rejects[3]["text"] == '"Q5",x,2017-13-02 00:00:00,,"a\nb",1,key,1.234,Ann'
+        assert rejects[0]["file_path"].endswith("r.csv")
+    with pytest.raises(Exception, match="bad request_ts: 02/01/2017"):
+        files.read_report(spark, str(tmp_path), multi_line=True).collect()
+
+
+def test_rejects_have_the_columns_of_a_report(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(HEADER)
+    rows, rejects = files.read_report_checked(spark, str(tmp_path))
+    assert rows.columns == [*REPORT_HEADER.values(), "src_seq"] and rows.count() == rejects.count() == 0
+
+
+# ---- JSON
+
+
+def json_value(rng, depth=0):
+    kind = rng.random()
+    if kind < 0.4:
+        return "".join(rng.choice(['"', "\\", "{", "}", "[", "]", ",", "a", "\n", "ë", "\\\""]) for _ in range(rng.randrange(8)))
+    if kind < 0.6 or depth > 2:
+        return rng.choice([1, -2.5, None, True])
+    if kind < 0.8:
+        return [json_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {f"k{i}": json_value(rng, depth + 1) for i in range(rng.randrange(3))}
+
+
+@pytest.mark.parametrize("seed, size, indent", [(0, 40, None), (1, 300, None), (2, 70, 1), (3, 1 << 20, None), (4, 11, 2)])
+def test_array_files_in_many_splits(spark, tmp_path, seed, size, indent):
+    rng = random.Random(seed)
+    want = []
+    for k in range(3):
+        objects = [{"id": f"{k}-{i}", "v": json_value(rng), "w": json_value(rng)} for i in range(40)]
+        want += objects
+        (tmp_path / f"{k}.json").write_text(json.dumps(objects, indent=indent, ensure_ascii=bool(k)) + ("\n" if k else ""), encoding="utf-8")
+    session = small_splits(spark, size)
+    got = [json.loads(r["text"]) for r in records.json_array_records(session, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r["id"]) == sorted(want, key=lambda r: r["id"])
+
+
+def test_array_reader_equals_the_multi_line_reader(spark, tmp_path):
+    objects = [{"Quote.No": f"Q{i} }}{{ \"", "close_3d": i % 2, "close_2w": 1, **{c: i / 7 for c in FEATURES}} for i in range(500)]
+    (tmp_path / "one.json").write_text(json.dumps(objects))
+    session = small_splits(spark, 5000)
+    got = files.read_training_json(session, str(tmp_path), array_file=True)
+    want = session.read.schema(files.TRAINING_SCHEMA).option("multiLine", True).json(str(tmp_path)).withColumnRenamed("Quote.No", "quote_no")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_odd_array_files(spark, tmp_path):
+    def read(text):
+        (tmp_path / "x.json").write_text(text)
+        return sorted(r["text"] for r in records.json_array_records(small_splits(spark, 9), str(tmp_path)).collect())
+
+    assert read("[]") == read("") == read(" [ ]\n\n") == []
+    assert read('﻿[{"a": 1}, {}]\n[{"b": [{"c": "}"}]}]') == ['{"a": 1}', '{"b": [{"c": "}"}]}', "{}"]
+    for broken in ('[{"a": 1}, {"b": 2', '[{"a": 1}', '[{"a": "1'):
+        with pytest.raises(ValueError, match="ends inside"):
+            read(broken)
+    with pytest.raises(Exception, match="outside an array"):
+        read('{"a": 1}\n{"a": 2}\n')
