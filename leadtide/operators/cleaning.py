@@ -11,11 +11,10 @@ from leadtide.operators.ordering import (
     POS,
     TASK_ROWS,
     Ordered,
-    add_previous,
     beside,
+    member_figures,
     number_rows,
     place_chunks,
-    split_groups,
 )
 from leadtide.schema import (
     ACCEPT,
@@ -86,11 +85,10 @@ def order_quotes(
 
 def flag_new_customers(quotes: Ordered) -> Ordered:
     """``whether_new`` is 0 only where the customer's previous row has an amount."""
-    lagged = add_previous(split_groups(quotes, [CUSTOMER]), [CUSTOMER], {"amount_before": AMOUNT})
-    rows = lagged.rows
+    lagged = member_figures(quotes, CUSTOMER, CUSTOMER, previous={"amount_before": AMOUNT})
     old = F.coalesce(F.col("amount_before") != 0, F.lit(False))
     return quotes.with_rows(
-        rows.select(*quotes.rows.columns, F.when(old, 0).otherwise(1).alias("whether_new"))
+        beside(quotes, lagged).select(*quotes.rows.columns, F.when(old, 0).otherwise(1).alias("whether_new"))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +11,19 @@ from leadtide.operators.ordering import (
     CHUNK,
     POS,
     Ordered,
-    add_prior,
+    add_shared_previous,
     add_shared_prior,
     beside,
+    member_figures,
     number_rows,
-    place_chunks,
     prior_name,
-    split_groups,
 )
 from leadtide.schema import (
     AMOUNT,
     CUSTOMER,
     CUSTOMER_PREFIX,
     GLOBAL_METRICS,
+    GROUPS,
     SHARED_GROUPS,
 )
 
@@ -93,44 +95,65 @@ def shared_figures(
     return prior.rows.drop(*measures)
 
 
-def customer_figures(clean: Ordered, kinds: list[str]) -> DataFrame:
-    """Totals, metrics and quotes since the last order of each customer, by position.
+def _customers(clean: Ordered, measures: list[str]) -> DataFrame:
+    narrow = with_measures(clean.rows).select(POS, CHUNK, CUSTOMER, *MEASURES)
+    return member_figures(clean.with_rows(narrow), CUSTOMER_PREFIX, CUSTOMER, measures, mark=ORDERS)
 
-    Rows between two orders share their number of earlier orders, so the place of a row
-    among them is the number of quotes since the last order, itself included.
+
+def customer_figures(clean: Ordered, kinds: list[str]) -> DataFrame:
+    """Totals, metrics and quotes since the last order of each customer, by position, placed
+    by chunk. ``quotes_since_last_order`` is null without a customer; see ``without_customer``.
     """
-    measures = _measures_of([*kinds, "aov"])
-    narrow = with_measures(clean.rows).select(POS, CHUNK, CUSTOMER, *MEASURES)
-    rows = split_groups(clean.with_rows(narrow), [CUSTOMER])
-    rows = add_prior(rows, CUSTOMER_PREFIX, [CUSTOMER], measures)
-    orders = prior_name(CUSTOMER_PREFIX, ORDERS)
-    rows = add_prior(rows, "since", [CUSTOMER, orders], [QUOTES])
-    since = f"CASE WHEN {CUSTOMER} IS NULL THEN {ORDERS} ELSE {prior_name('since', QUOTES)} + 1 END"
-    return rows.rows.selectExpr(
+    figures = _customers(clean, _measures_of([*kinds, "aov"]))
+    return figures.selectExpr(
         POS,
         CHUNK,
         *[metric(CUSTOMER_PREFIX, k, f"{CUSTOMER_PREFIX}_{k}") for k in kinds],
         f"double({prior_name(CUSTOMER_PREFIX, SPENT)}) AS cust_tot_spend",
-        f"bigint({orders}) AS cust_tot_orders",
-        f"bigint({since}) AS quotes_since_last_order",
+        f"bigint({prior_name(CUSTOMER_PREFIX, ORDERS)}) AS cust_tot_orders",
+        f"{prior_name(CUSTOMER_PREFIX, 'since')} AS quotes_since_last_order",
     )
 
 
+def without_customer(rows: DataFrame) -> DataFrame:
+    """Quotes since the last order where there is no customer: 1 for an order, else 0."""
+    since = F.coalesce("quotes_since_last_order", F.col("whether_order").cast("bigint"))
+    return rows.withColumn("quotes_since_last_order", since)
+
+
 def order_epochs(clean: Ordered) -> DataFrame:
     """Per customer the orders so far (``order_grp``) and the row's place after the last
     of them, from 0 (``quotes_since``). Without a customer both are 0."""
-    keep = clean.rows.columns
-    rows = split_groups(clean.with_rows(with_measures(clean.rows)), [CUSTOMER])
-    rows = add_prior(rows, CUSTOMER_PREFIX, [CUSTOMER], [ORDERS])
-    epoch = F.when(
-        F.col(CUSTOMER).isNotNull(), F.col(prior_name(CUSTOMER_PREFIX, ORDERS)) + F.col(ORDERS)
-    ).otherwise(0)
-    rows = rows.with_rows(rows.rows.withColumn("order_grp", epoch.cast("bigint")))
-    rows = add_prior(rows, "epoch", [CUSTOMER, "order_grp"], [QUOTES])
-    return rows.rows.select(
-        *keep,
-        "order_grp",
-        F.col(prior_name("epoch", QUOTES)).cast("bigint").alias("quotes_since"),
+    orders, since = prior_name(CUSTOMER_PREFIX, ORDERS), prior_name(CUSTOMER_PREFIX, "since")
+    rows = beside(clean, _customers(clean, [ORDERS]))
+    return rows.selectExpr(
+        *clean.rows.columns,
+        f"CASE WHEN {CUSTOMER} IS NULL THEN 0L ELSE {orders} + whether_order END AS order_grp",
+        # An order begins its own epoch; before the first order places count from 0 as well.
+        f"CASE WHEN {CUSTOMER} IS NULL OR whether_order = 1 THEN 0L WHEN {orders} = 0 THEN {since} - 1"
+        f" ELSE {since} END AS quotes_since",
+    )
+
+
+LAGGED = {"amt": AMOUNT, "order": "whether_order", "sc": "sales_cycle"}
+LAGGED_OVERALL = {"amt": "amt_lag", "order": "whether_order_lag", "sc": "sales_cycle_lag"}
+
+
+def lag_columns(
+    clean: Ordered, kinds: Iterable[str] = tuple(LAGGED), groups: dict[str, str] | None = None, everything: bool = True
+) -> DataFrame:
+    """``<group>_<kind>_lag``: amount, order flag and sales cycle of the group's previous row, by
+    position, for all eight groupings; with ``everything`` also those of the row before.
+
+    One exchange of narrow rows serves all groupings, customers among them.
+    """
+    kinds, groups = list(kinds), dict(GROUPS if groups is None else groups)
+    columns = [LAGGED[k] for k in kinds]
+    narrow = clean.rows.select(POS, CHUNK, *groups.values(), *columns)
+    lagged = add_shared_previous(clean.with_rows(narrow), groups, columns, EVERYTHING if everything else None)
+    overall = [f"{prior_name(EVERYTHING, LAGGED[k])} AS {LAGGED_OVERALL[k]}" for k in kinds if everything]
+    return lagged.rows.selectExpr(
+        POS, CHUNK, *overall, *[f"{prior_name(g, LAGGED[k])} AS {g}_{k}_lag" for g in groups for k in kinds]
     )
 
 
@@ -141,9 +164,9 @@ def history_features(clean: Ordered, cycles: bool = True) -> DataFrame:
     measures only. The wide rows move once, to meet the figures.
     """
     kinds = [k for k in METRICS if cycles or k != "asc"]
-    customers = place_chunks(clean, customer_figures(clean, kinds))
+    customers = customer_figures(clean, kinds)
     shared = shared_figures(clean, SHARED_GROUPS, kinds, everything=True, fallback=True)
-    rows = beside(clean, customers, shared).drop(POS, CHUNK)
+    rows = without_customer(beside(clean, customers, shared)).drop(POS, CHUNK)
     # The customer's metrics meet those over all quotes only here.
     instead = {f"{CUSTOMER_PREFIX}_{k}": GLOBAL_METRICS[k] for k in kinds}
     return rows.selectExpr(

@@ -5,15 +5,17 @@ of neighbouring rows. A chunk is a slice of one range partition of the full orde
 (tie-breaker included) and holds at most ``task_rows`` rows, however the rows spread over
 keys or dates.
 
-A running sum of a group is then the total of the group's earlier chunks plus the
-running sum inside the chunk. The earlier total enters as one extra *carry* row at the
-front of the group's chunk: the window adds it up like any other row, and it is removed
-afterwards. Two forms use this:
-
-* ``add_shared_prior``: many groupings with few members. All their windows run after one
-  exchange that places each chunk in its own task.
-* ``split_groups`` + ``add_prior`` / ``add_previous``: one grouping with many members.
-  Groups that fit a task stay whole; only hot groups are split by chunk.
+A running figure of a group is then what the group's earlier chunks give, together with the
+running figure inside the chunk. Nothing else is needed to treat a group of any size, and no
+step asks how large a group is:
+
+* ``add_shared_prior`` and ``add_shared_previous``: many groupings with few members. All their
+  windows run after one exchange that places each chunk in its own task. What went before a
+  chunk enters as one extra *carry* row at the front of each member's rows there: the window
+  takes it like any other row, and it is removed afterwards.
+* ``member_figures``: one grouping with many members, such as customers. A chunk works out its
+  own figures; each member leaves one state a chunk, and one window composes the states of a
+  member. All figures of the grouping share that window and the exchange of the rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from leadtide.workspace import store
 
 POS = "pos"
 CHUNK = "chunk"
-SPLIT = "group_split"
 EVERY_ROW = "every_row"
 FRONT = -1
 
@@ -44,8 +45,7 @@ ROW_MASK = (1 << ROW_BITS) - 1
 class Ordered:
     """Rows that carry ``pos`` and ``chunk``.
 
-    ``n_rows`` is an upper bound on the rows. A group is hot if it exceeds ``task_rows``,
-    hence there are at most ``n_rows / task_rows`` hot groups.
+    ``n_rows`` is an upper bound on the rows.
     """
 
     rows: DataFrame
@@ -57,10 +57,6 @@ class Ordered:
         """The same order over a subset of the rows or over further columns."""
         return replace(self, rows=rows)
 
-    @property
-    def may_have_hot_groups(self) -> bool:
-        return self.n_rows > self.task_rows
-
 
 def number_rows(
     df: DataFrame,
@@ -225,112 +221,151 @@ def add_shared_prior(
     return ordered.with_rows(rows.drop(EVERY_ROW))
 
 
-def split_groups(ordered: Ordered, keys: Iterable[str]) -> Ordered:
-    """Mark in which piece of its group a row is windowed.
-
-    Groups of up to ``task_rows`` rows are one piece; larger ones have a piece per chunk.
-    The hot list is broadcast: it has at most ``n_rows / task_rows`` entries. Rows with a
-    missing key form no group, so they are spread over the chunks.
-    """
-    keys = list(keys)
-    rows = ordered.rows
-    in_group = F.expr(_no_null(keys))
-    hot = F.lit(False)
-    columns = [c for c in rows.columns if c != SPLIT]
-    if ordered.may_have_hot_groups:
-        large = (
-            rows.filter(in_group)
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("group_rows"))
-            .filter(F.col("group_rows") > ordered.task_rows)
-            .select(*keys, F.lit(True).alias("is_hot"))
+def _shared_last(rows: DataFrame, groups: Mapping[str, str], columns: list[str]) -> DataFrame:
+    """Per group member and chunk, the member's last row in the chunks before."""
+    types = dict(rows.dtypes)
+    members = ", ".join(f"'{name}', cast({key} AS string)" for name, key in groups.items())
+    per_member = "OVER (PARTITION BY grouping, member ORDER BY " + CHUNK + ")"
+    return (
+        rows.selectExpr(
+            CHUNK, POS, f"struct({', '.join(columns)}) AS cells", f"stack({len(groups)}, {members}) AS (grouping, member)"
+        )
+        .filter("member IS NOT NULL")
+        .groupBy("grouping", "member", CHUNK)
+        .agg(F.max_by("cells", POS).alias("cells"))
+        .selectExpr(CHUNK, "grouping", "member", f"lag(cells) {per_member} AS cells")
+        .filter("cells IS NOT NULL")
+        .selectExpr(
+            CHUNK,
+            f"bigint({FRONT}) AS {POS}",
+            "cells.*",
+            *[
+                f"cast(CASE WHEN grouping = '{name}' THEN member END AS {types[key]}) AS {key}"
+                for name, key in groups.items()
+            ],
         )
-        rows = rows.join(F.broadcast(large), keys, "left")
-        hot = F.coalesce(F.col("is_hot"), F.lit(False))
-    split = F.when(~in_group | hot, F.col(CHUNK) + 1).otherwise(0)
-    return ordered.with_rows(rows.select(*columns, split.alias(SPLIT)))
-
-
-def _split_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.filter(f"{SPLIT} > 0 AND {_no_null(keys)}")
-
-
-def _with_carry(ordered: Ordered, carry: DataFrame, front: str) -> DataFrame:
-    carry = carry.filter(F.col(front).isNotNull()).drop(front)
-    return ordered.rows.unionByName(
-        carry.withColumn(POS, F.lit(FRONT).cast("bigint")), allowMissingColumns=True
     )
 
 
-def add_prior(
-    ordered: Ordered, group: str, keys: Iterable[str], measures: Iterable[str]
+def add_shared_previous(
+    ordered: Ordered, groups: Mapping[str, str], columns: Iterable[str], everything: str | None = None
 ) -> Ordered:
-    """Add ``<group>__<measure>`` over the earlier rows with the same ``keys``.
+    """Add ``<group>__<column>``: the column's value in the group's previous row.
 
-    Rows must be split by ``split_groups`` on these keys, or on fewer of them. Only the
-    rows of hot groups are read a second time, for their totals per piece.
+    0 in the first row of a group, where a key is missing, and where the previous value is.
+    ``groups`` and ``everything`` as in ``add_shared_prior``; columns must not be keys. The rows
+    should be narrow: they are exchanged once, and sorted once for each group.
     """
-    keys, measures = list(keys), list(measures)
-    columns = ordered.rows.columns
+    columns = list(columns)
+    groups = dict(groups)
     rows = ordered.rows
-    if ordered.may_have_hot_groups:
-        types = dict(rows.dtypes)
-        pieces = Window.partitionBy(*keys).orderBy(SPLIT)
-        earlier = pieces.rowsBetween(Window.unboundedPreceding, -1)
-        carry = (
-            _split_rows(ordered.rows, keys)
-            .groupBy(*keys, SPLIT)
-            .agg(*[F.sum(m).alias(m) for m in measures])
-            .select(
-                *keys,
-                SPLIT,
-                F.lag(SPLIT).over(pieces).alias("last"),
-                *[F.sum(m).over(earlier).cast(types[m]).alias(m) for m in measures],
-            )
-        )
-        rows = _with_carry(ordered, carry, "last")
+    if everything:
+        rows = rows.withColumn(EVERY_ROW, F.lit(1))
+        groups = {everything: EVERY_ROW, **groups}
+    kept = rows.columns
+    if ordered.n_chunks > 1:
+        rows = rows.unionByName(_shared_last(rows, groups, columns), allowMissingColumns=True)
+    rows = place_chunks(ordered, rows)
     rows = rows.selectExpr(
-        *columns, *[_prior_sum(m, [*keys, SPLIT], keys, prior_name(group, m)) for m in measures]
+        *kept,
+        *[
+            f"coalesce(CASE WHEN {key} IS NOT NULL THEN lag({c}) OVER "
+            f"(PARTITION BY {key}, {CHUNK} ORDER BY {POS}) END, 0) AS {prior_name(name, c)}"
+            for name, key in groups.items()
+            for c in columns
+        ],
     )
-    if ordered.may_have_hot_groups:
-        rows = rows.filter(F.col(POS) > FRONT)
-    return ordered.with_rows(rows)
+    return ordered.with_rows(rows.filter(F.col(POS) > FRONT).drop(EVERY_ROW))
 
 
-def add_previous(
-    ordered: Ordered, keys: Iterable[str], previous: Mapping[str, str]
-) -> Ordered:
-    """Add, for each ``new: column`` of ``previous``, the value in the group's previous row.
+def member_figures(
+    ordered: Ordered,
+    group: str,
+    key: str,
+    sums: Iterable[str] = (),
+    mark: str | None = None,
+    previous: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Figures over the earlier rows with the same ``key``, by position, placed by chunk.
+
+    * ``<group>__<measure>`` for each of ``sums``: its sum, 0 without an earlier row;
+    * with ``mark``, a column of 0 and 1, ``<group>__since``: the number of rows after the last
+      earlier row that is marked, the row itself included;
+    * for each ``new: column`` of ``previous``, the value in the previous row.
 
-    Null in the first row of a group and where a key is missing.
+    A missing key is no group: sums are 0, ``since`` and previous values null. Rows are read
+    and exchanged once; a member leaves at most one state for each chunk that it is in.
     """
-    keys = list(keys)
-    rows = ordered.rows
-    columns = rows.columns
-    if ordered.may_have_hot_groups:
-        pieces = Window.partitionBy(*keys).orderBy(SPLIT)
-        sources = sorted(set(previous.values()))
-        carry = (
-            _split_rows(ordered.rows, keys)
-            .groupBy(*keys, SPLIT)
-            .agg(*[F.max_by(c, POS).alias(c) for c in sources])
-            .select(
-                *keys,
-                SPLIT,
-                F.lag(SPLIT).over(pieces).alias("last"),
-                *[F.lag(c).over(pieces).alias(c) for c in sources],
-            )
-        )
-        rows = _with_carry(ordered, carry, "last")
-    in_order = Window.partitionBy(*keys, SPLIT).orderBy(POS)
-    in_group = F.expr(_no_null(keys))
-    rows = rows.select(
+    sums, previous = list(sums), dict(previous or {})
+    sources = sorted({*previous.values()})
+    columns = list(dict.fromkeys([CHUNK, POS, key, *sums, *([mark] if mark else []), *sources]))
+    types = dict(ordered.rows.dtypes)
+    place = f"(PARTITION BY {key}, {CHUNK} ORDER BY {POS})"
+    before = f"(PARTITION BY {key}, {CHUNK} ORDER BY {POS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    local = place_chunks(ordered, ordered.rows.select(*columns)).selectExpr(
         *columns,
-        *[
-            F.when(in_group, F.lag(c).over(in_order)).alias(new)
-            for new, c in previous.items()
-        ],
+        f"bigint(row_number() OVER {place}) AS row_here",
+        *[f"sum({m}) OVER {before} AS sum_{m}" for m in sums],
+        *[f"lag(struct({c})) OVER {place} AS last_{c}" for c in sources],
     )
-    if ordered.may_have_hot_groups:
-        rows = rows.filter(F.col(POS) > FRONT)
-    return ordered.with_rows(rows)
+    if mark:
+        local = local.selectExpr("*", f"max(CASE WHEN {mark} = 1 THEN row_here END) OVER {before} AS marked_here")
+    if ordered.n_chunks > 1:
+        carry = place_chunks(ordered, _member_carry(local, key, sums, mark, sources))
+        carry = carry.withColumnsRenamed({CHUNK: "carry_chunk", key: "carry_key"})
+        # No carry has a missing key. A plain equality would filter the rows of the states for
+        # keys, and so give them an exchange of their own.
+        local = local.join(carry, F.expr(f"{CHUNK} = carry_chunk AND {key} <=> carry_key"), "left")
+    else:
+        names = ["rows", *[f"sum_{m}" for m in sums], *(["marked"] if mark else [])]
+        local = local.selectExpr(
+            "*", *[f"0 AS carry_{n}" for n in names], *[f"last_{c} AS carry_last_{c}" for c in sources]
+        )
+    in_group = f"{key} IS NOT NULL"
+    figures = [
+        f"cast(CASE WHEN {in_group} THEN coalesce(sum_{m}, 0) + coalesce(carry_sum_{m}, 0) ELSE 0 END"
+        f" AS {_summed(types[m])}) AS {prior_name(group, m)}"
+        for m in sums
+    ]
+    if mark:
+        # The place of the last marked row in the whole group, 0 if there is none.
+        marked = "coalesce(marked_here + coalesce(carry_rows, 0), carry_marked, 0)"
+        figures.append(
+            f"CASE WHEN {in_group} THEN bigint(coalesce(carry_rows, 0) + row_here - {marked}) END AS {prior_name(group, 'since')}"
+        )
+    figures += [
+        f"CASE WHEN {in_group} THEN coalesce(last_{c}, carry_last_{c}).{c} END AS {new}" for new, c in previous.items()
+    ]
+    return local.selectExpr(CHUNK, POS, *figures)
+
+
+def _summed(kind: str) -> str:
+    """Type of a running sum: decimals as wide as they get, others as they are."""
+    return kind if not kind.startswith("decimal") else f"decimal(38,{kind.rstrip(')').split(',')[1]})"
+
+
+def _member_carry(local: DataFrame, key: str, sums: list[str], mark: str | None, sources: list[str]) -> DataFrame:
+    """What each member's earlier chunks give to a chunk: composed states, one row a chunk."""
+    states = (
+        local.groupBy(key, CHUNK)
+        .agg(
+            F.count(key).alias("rows"),
+            *[F.sum(m).alias(f"sum_{m}") for m in sums],
+            *([F.max(F.when(F.col(mark) == 1, F.col("row_here"))).alias("marked")] if mark else []),
+            *[F.max_by(F.struct(c), POS).alias(f"last_{c}") for c in sources],
+        )
+        .filter("rows > 0")
+    )
+    chunks = f"(PARTITION BY {key} ORDER BY {CHUNK})"
+    earlier = f"(PARTITION BY {key} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = states.selectExpr(
+        CHUNK,
+        key,
+        f"sum(rows) OVER {earlier} AS carry_rows",
+        *[f"sum(sum_{m}) OVER {earlier} AS carry_sum_{m}" for m in sums],
+        *[f"lag(last_{c}) OVER {chunks} AS carry_last_{c}" for c in sources],
+        *(["marked"] if mark else []),
+    )
+    if mark:
+        carry = carry.selectExpr("*", f"max(coalesce(carry_rows, 0) + marked) OVER {earlier} AS carry_marked").drop("marked")
+    return carry.filter("carry_rows IS NOT NULL")

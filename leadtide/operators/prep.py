@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,9 @@ def drop_auxiliary(df: DataFrame, auxiliary: Iterable[str] = tuple(AUXILIARY)) -
 
 
 def fill_all_zero(df: DataFrame) -> DataFrame:
-    """0 for every missing number; text and dates keep their nulls."""
-    return df.na.fill(0)
+    """0 for every missing number and the text ``0`` for every missing text; dates keep their
+    nulls."""
+    return df.na.fill(0).na.fill("0")
 
 
 @dataclass(frozen=True)
@@ -33,12 +36,13 @@ class Scaling:
     mean: dict[str, float]
     deviation: dict[str, float]
 
-    def apply(self, df: DataFrame, suffix: str = "") -> DataFrame:
-        """Scaled features under their names, or next to the raw ones with a suffix.
+    def expressions(self) -> dict[str, str]:
+        """Each scaled feature as SQL; a constant feature becomes 0."""
+        return {c: f"(double({c}) - {m!r}D) / {self.deviation[c] or 1.0!r}D" for c, m in self.mean.items()}
 
-        A constant feature becomes 0.
-        """
-        scaled = {c: f"(double({c}) - {m!r}D) / {self.deviation[c] or 1.0!r}D" for c, m in self.mean.items()}
+    def apply(self, df: DataFrame, suffix: str = "") -> DataFrame:
+        """Scaled features under their names, or next to the raw ones with a suffix."""
+        scaled = self.expressions()
         if suffix:
             return df.selectExpr("*", *[f"{e} AS {c}{suffix}" for c, e in scaled.items()])
         return df.selectExpr(
@@ -60,20 +64,45 @@ class Scaling:
         )
 
 
+#: Bits of a feature's whole numbers, relative to its largest value; two halves make one.
+BITS, HALF = 60, 30
+
+
 def fit_scaling(df: DataFrame, features: Iterable[str] = tuple(FEATURES)) -> Scaling:
-    """Mean and deviation of all features in one aggregation over all rows given.
+    """Mean and population deviation of all features over all rows given, nulls left out.
+
+    They do not depend on how the rows are spread. A first aggregation finds the largest
+    magnitude of each feature. In the second a value is the whole number of steps nearest to
+    it, with ``BITS`` bits for the largest, more than a double holds; sums of these and of the
+    products of their halves are exact, and so is all that follows on the driver.
 
-    The reference scales before it splits; pass the training rows to avoid that leak.
+    The reference scales before it splits; pass the training rows to avoid that leak. Values
+    that are not finite raise.
     """
     features = list(features)
-    row = df.selectExpr(
-        *[f"avg({c}) AS m{i}" for i, c in enumerate(features)],
-        *[f"stddev_pop({c}) AS d{i}" for i, c in enumerate(features)],
-    ).first()
-    return Scaling(
-        {c: row[f"m{i}"] or 0.0 for i, c in enumerate(features)},
-        {c: row[f"d{i}"] or 0.0 for i, c in enumerate(features)},
-    )
+    top = df.selectExpr(*[f"max(abs(double({c}))) AS t{i}" for i, c in enumerate(features)]).first()
+    steps, sums = {}, []
+    for i, c in enumerate(features):
+        largest = top[f"t{i}"] or 0.0
+        if not math.isfinite(largest):
+            raise ValueError(f"{c} has values that are not finite")
+        steps[c] = BITS - math.frexp(largest)[1] if largest else 0
+        # Two factors: one alone may leave the range of a double.
+        half = steps[c] // 2
+        number = f"bigint(rint(double({c}) * {2.0 ** half!r}D * {2.0 ** (steps[c] - half)!r}D))"
+        high, low = f"shiftright({number}, {HALF})", f"({number} & {(1 << HALF) - 1}L)"
+        parts = {"s": number, "hh": f"{high} * {high}", "hl": f"{high} * {low}", "ll": f"{low} * {low}"}
+        sums += [f"count({c}) AS n{i}", *[f"sum(cast({e} AS decimal(28,0))) AS {k}{i}" for k, e in parts.items()]]
+    row = df.selectExpr(*sums).first()
+    mean, deviation = {}, {}
+    for i, c in enumerate(features):
+        n = row[f"n{i}"]
+        total, hh, hl, ll = (int(row[f"{k}{i}"] or 0) for k in ("s", "hh", "hl", "ll"))
+        squares = (hh << 2 * HALF) + (hl << HALF + 1) + ll
+        mean[c] = float(Fraction(total, n) / Fraction(2) ** steps[c]) if n else 0.0
+        spread = math.sqrt(Fraction(n * squares - total * total, n * n)) if n else 0.0
+        deviation[c] = math.ldexp(spread, -steps[c])
+    return Scaling(mean, deviation)
 
 
 def mark_test_rows(df: DataFrame, seed: int = fx.SPLIT_SEED) -> DataFrame:
@@ -86,10 +115,10 @@ def split(df: DataFrame, seed: int = fx.SPLIT_SEED) -> tuple[DataFrame, DataFram
     return df.filter(~chosen), df.filter(chosen)
 
 
-def neutralize_rep(df: DataFrame) -> DataFrame:
+def neutralize_rep(df: DataFrame, suffix: str = "") -> DataFrame:
     """The figures over all quotes in place of those of the sales rep."""
-    present = {k: g for k, g in GLOBAL_METRICS.items() if f"sales_rep_{k}" in df.columns}
-    return df.withColumns({f"sales_rep_{k}": F.col(g) for k, g in present.items()})
+    present = {k: g for k, g in GLOBAL_METRICS.items() if f"sales_rep_{k}{suffix}" in df.columns}
+    return df.withColumns({f"sales_rep_{k}{suffix}": F.col(f"{g}{suffix}") for k, g in present.items()})
 
 
 def new_customers(df: DataFrame) -> DataFrame:

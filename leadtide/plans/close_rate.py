@@ -13,8 +13,7 @@ from leadtide.operators.cleaning import clean_quotes
 from leadtide.operators.history import history_features
 from leadtide.operators.metrics import LABEL, PREDICTION, SCORE
 from leadtide.operators.ordering import TASK_ROWS
-from leadtide.operators.scoring import attach_predictions, rows_of
-from leadtide.schema import FEATURES, LABELS, SEQ
+from leadtide.schema import FEATURES, LABELS
 from leadtide.workspace import store
 
 HORIZON = {"close_3d": "3 Days", "close_2w": "2 Weeks"}
@@ -47,12 +46,19 @@ def train_and_test(scaled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def report_rows(
-    model: PipelineModel, test: DataFrame, label: str, name: str
+    model: PipelineModel, test: DataFrame, label: str, name: str, new_customers: str | None = None
 ) -> DataFrame:
-    """Label, predicted class and score of each test row, under the name of the report."""
+    """Label, predicted class and score of each test row, under the name of the report.
+
+    ``new_customers`` names a second report on the rows of new customers; the model runs once
+    for both.
+    """
     scored = models.predict_class(model, test, "closes")
+    reports = [F.lit(f"{name}, {HORIZON[label]}")]
+    if new_customers:
+        reports.append(F.when(F.col("whether_new") == 1, F.lit(f"{new_customers}, {HORIZON[label]}")))
     return scored.select(
-        F.lit(f"{name}, {HORIZON[label]}").alias("report"),
+        F.explode(F.array_compact(F.array(*reports))).alias("report"),
         F.col(label).alias(LABEL),
         F.col("closes").alias(PREDICTION),
         F.col("closes_prob").alias(SCORE),
@@ -71,30 +77,34 @@ def model_reports(
         boosted = models.fit(models.boosted_classifier(rounds=rounds), train, label)
         parts += [
             report_rows(net, test, label, "MLP"),
-            report_rows(boosted, test, label, "GBT"),
-            report_rows(boosted, prep.new_customers(test), label, "GBT for New Customer"),
+            report_rows(boosted, test, label, "GBT", "GBT for New Customer"),
         ]
     scored = reduce(DataFrame.unionByName, parts)
     return metrics.classification_report(scored, partitions=partitions)
 
 
-def full_predictions(raw: DataFrame, scaled: DataFrame, rounds: int = 200) -> DataFrame:
+def fit_on_raw(raw: DataFrame, scaling: prep.Scaling, label: str, rounds: int = 200) -> PipelineModel:
+    """The boosted classifier as a model of raw rows, with the scaling inside."""
+    return models.fit(models.with_scaling(scaling, models.boosted_classifier(rounds=rounds)), raw, label)
+
+
+def full_predictions(raw: DataFrame, scaling: prep.Scaling, rounds: int = 200) -> DataFrame:
     """Models refitted on all rows, and their predictions next to the raw quotes."""
-    predictions = []
-    scored = scaled
+    scored = raw
     for label in LABELS:
-        model = models.fit(models.boosted_classifier(rounds=rounds), scaled, label)
-        scored = models.predict_class(model, scored, f"pred_{label}")
-        predictions += [f"pred_{label}", f"pred_{label}_prob"]
-    return attach_predictions(raw, scored, predictions)
+        scored = models.predict_class(fit_on_raw(raw, scaling, label, rounds), scored, f"pred_{label}")
+    return scored
 
 
 def new_customer_test_scores(
-    raw: DataFrame, scaled: DataFrame, rounds: int = 200, label: str = "close_2w"
+    raw: DataFrame, scaling: prep.Scaling, rounds: int = 200, label: str = "close_2w"
 ) -> DataFrame:
-    """The raw test rows of new customers with the class and score of the test model."""
-    train, test = train_and_test(scaled)
-    model = models.fit(models.boosted_classifier(rounds=rounds), train, label)
-    chosen = prep.new_customers(test)
-    scored = models.predict_class(model, chosen, "pred")
-    return rows_of(raw, chosen).join(scored.select(SEQ, "pred", "pred_prob"), SEQ)
+    """The raw test rows of new customers with the class and score of the test model.
+
+    Raw and scaled features are columns of one row; the sales rep is made neutral among the
+    scaled ones.
+    """
+    train, test = prep.split(raw)
+    model = models.on_scaled(fit_on_raw(train, scaling, label, rounds))
+    chosen = prep.neutralize_rep(scaling.apply(prep.new_customers(test), models.SUFFIX), models.SUFFIX)
+    return models.without_scaled(models.predict_class(model, chosen, "pred"))

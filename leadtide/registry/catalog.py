@@ -40,8 +40,13 @@ from leadtide.sources import files, testdata
 from leadtide.streaming import scores as streams
 from leadtide.workspace import fresh_path
 
+#: Rows of a chunk here: few, so that the small test tables go through several chunks.
+CHUNK_ROWS = 5_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The queries as functions of ``Tables``.
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 @dataclass
@@ -50,10 +55,12 @@ class Tables:
 
     spark: SparkSession
     folder: str
+    #: Fewer boosting rounds and net iterations than the models' own, for quick runs.
+    rounds: int | None = None
 
     @property
-    def partitions(self) -> int:
-        return self.spark.sparkContext.defaultParallelism
+    def limit(self) -> dict[str, int]:
+        return {"rounds": self.rounds} if self.rounds else {}
 
     def table(self, name: str) -> DataFrame:
         return testdata.table(self.spark, self.folder, name)
@@ -73,26 +80,39 @@ class Tables:
 
     @cached_property
     def quotes(self) -> ordering.Ordered:
-        return cleaning.order_quotes(self.report, self.enrich, self.partitions)
+        return cleaning.order_quotes(self.report, self.enrich, task_rows=CHUNK_ROWS)
 
     @cached_property
     def clean(self) -> ordering.Ordered:
-        return cleaning.clean_quotes(self.report, self.enrich, self.partitions)
+        return cleaning.clean_quotes(self.report, self.enrich, task_rows=CHUNK_ROWS)
 
     @cached_property
     def features(self) -> DataFrame:
         return history.history_features(self.clean)
 
     @cached_property
+    def _scaled(self) -> tuple[DataFrame, DataFrame, prep.Scaling]:
+        return close_rate.scaled_table(self.features)
+
+    @property
     def both(self) -> tuple[DataFrame, DataFrame]:
-        raw, scaled, _ = close_rate.scaled_table(self.features)
-        return raw, scaled
+        return self._scaled[:2]
+
+    @property
+    def raw_and_scaling(self) -> tuple[DataFrame, prep.Scaling]:
+        return self._scaled[0], self._scaled[2]
 
     @cached_property
+    def _scaled_values(self) -> tuple[DataFrame, DataFrame, prep.Scaling]:
+        return lead_value.scaled_table(lead_value.value_table(self.report, self.enrich, task_rows=CHUNK_ROWS))
+
+    @property
     def both_values(self) -> tuple[DataFrame, DataFrame]:
-        table = lead_value.value_table(self.report, self.enrich, self.partitions)
-        raw, scaled, _ = lead_value.scaled_table(table)
-        return raw, scaled
+        return self._scaled_values[:2]
+
+    @property
+    def raw_values_and_scaling(self) -> tuple[DataFrame, prep.Scaling]:
+        return self._scaled_values[0], self._scaled_values[2]
 
     def path(self, name: str) -> str:
         return fresh_path(self.spark, name)
@@ -103,6 +123,7 @@ def query(check: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]):
         name = build.__name__
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if check is not None:
             ORACLES[name] = check
@@ -146,10 +167,64 @@ def csv_report_numbered(t: Tables) -> DataFrame:
     return files.read_report(t.spark, path).select(*REPORT_COLUMNS)
 
 
-@query(sql.after(sql.ENRICH, f"SELECT {names(CUSTOMER, *INDUSTRY)} FROM enrich"))
+_BROKEN = "{} || ' 12\" x,' || {} || 'y'"
+_NUMBERED = f"SELECT row_number() OVER (ORDER BY src_seq) - 1 AS src_seq, {names(*[c for c in REPORT_COLUMNS if c not in (SEQ, PRODUCT)])}"
+
+
+@query(sql.after(sql.REPORT, f"{_NUMBERED}, {_BROKEN.format('product', 'chr(10)')} AS product FROM report"))
+def csv_multi_line_scan(t: Tables) -> DataFrame:
+    """A report with line breaks, quote marks and commas in its cells, read in splits."""
+    path = t.path("report-csv")
+    odd = t.report.withColumn(PRODUCT, F.expr(_BROKEN.format(PRODUCT, "'\\n'")))
+    files.write_report(odd.repartitionByRange(SEQ).sortWithinPartitions(SEQ), path)
+    return files.read_report(t.spark, path, multi_line=True).select(*REPORT_COLUMNS)
+
+
+# Cells that cannot be read: a date of another shape, a key with letters, a third decimal.
+_BAD = {REQUEST: "src_seq % 17 = 0", CUSTOMER: "src_seq % 19 = 0 AND customer_no IS NOT NULL", AMOUNT: "src_seq % 23 = 0 AND paid_amount IS NOT NULL"}
+
+
+def _report_with_bad_cells(t: Tables) -> str:
+    """Whole keys are written with ``.0``, as for a column of numbers with gaps."""
+    path = t.path("report-csv")
+    cells = {
+        REQUEST: f"date_format({REQUEST}, CASE WHEN {_BAD[REQUEST]} THEN 'yyyy/MM/dd' ELSE '{TIMESTAMP_FORMAT}' END)",
+        CUSTOMER: f"concat({CUSTOMER}, CASE WHEN {_BAD[CUSTOMER]} THEN 'x' ELSE '.0' END)",
+        AMOUNT: f"concat({AMOUNT}, CASE WHEN {_BAD[AMOUNT]} THEN '5' ELSE '' END)",
+        PRODUCT: f"concat({PRODUCT}, '\\ny')",
+    }
+    text = t.report.withColumns({c: F.expr(e) for c, e in cells.items()})
+    files.write_report(text.repartitionByRange(SEQ).sortWithinPartitions(SEQ), path)
+    return path
+
+
+_PLACED = f"WITH {sql.REPORT}, numbered AS (SELECT *, row_number() OVER (ORDER BY src_seq) - 1 AS place FROM report) SELECT place AS src_seq, "
+_ANY_BAD = " OR ".join(f"({e})" for e in _BAD.values())
+
+
+@query(
+    _PLACED
+    + names(*[c for c in REPORT_COLUMNS if c not in (SEQ, PRODUCT)])
+    + f", product || chr(10) || 'y' AS product FROM numbered WHERE NOT ({_ANY_BAD})"
+)
+def csv_checked_rows(t: Tables) -> DataFrame:
+    """The good rows of a report with bad cells; rejected rows keep their numbers."""
+    return files.read_report_checked(t.spark, _report_with_bad_cells(t))[0].select(*REPORT_COLUMNS)
+
+
+@query(
+    f"{_PLACED} concat_ws(',', {', '.join(f'CASE WHEN {e} THEN {chr(39)}{c}{chr(39)} END' for c, e in _BAD.items())}) AS reasons"
+    f" FROM numbered WHERE {_ANY_BAD}"
+)
+def csv_rejected_rows(t: Tables) -> DataFrame:
+    rejects = files.read_report_checked(t.spark, _report_with_bad_cells(t))[1]
+    return rejects.select(SEQ, F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(sql.after(sql.ENRICH, f"SELECT {names(CUSTOMER, *INDUSTRY)} FROM enrich").replace("WHERE c_custkey % 5 <> 0", ""))
 def csv_enrich_scan(t: Tables) -> DataFrame:
     path = t.path("enrich-csv")
-    files.write_enrichment(t.enrich, path)
+    files.write_enrichment(testdata.enrichment(t.spark, t.folder, all_customers=True), path)
     return files.read_enrichment(t.spark, path)
 
 
@@ -180,6 +255,18 @@ def json_training_scan(t: Tables) -> DataFrame:
     return files.read_training_json(t.spark, path).selectExpr(QUOTE, *LABELS, *rounded(FEATURES))
 
 
+@query(sql.after(sql.SCALED, f"SELECT {_TRAINING} FROM scaled"))
+def json_array_scan(t: Tables) -> DataFrame:
+    """Files that hold JSON arrays of some thousand records on one line, read in splits."""
+    path = t.path("training-array")
+    rows = files.training_rows(t.both[1])
+    arrays = F.ceil(F.lit(rows.count() / 1000)).cast("int")
+    bucket = F.pmod(F.xxhash64(f"`{files.QUOTE_HEADER}`"), arrays)
+    whole = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    rows.groupBy(bucket.alias("bucket")).agg(F.to_json(whole).alias("value")).select("value").write.text(path)
+    return files.read_training_json(t.spark, path, array_file=True).selectExpr(QUOTE, *LABELS, *rounded(FEATURES))
+
+
 @query(sql.after(sql.SCALED, f"SELECT {_SCORING} FROM scaled"))
 def json_scoring_scan(t: Tables) -> DataFrame:
     path = t.path("scoring-json")
@@ -221,9 +308,7 @@ _TEXT_SCORE = "CAST(CAST(product_close_rate AS DECIMAL(9,6)) AS {})"
 )
 def score_json(t: Tables) -> DataFrame:
     scored = t.features.selectExpr(SEQ, QUOTE, _TEXT_SCORE.format("STRING") + " AS score")
-    return scored.select(
-        SEQ, QUOTE, F.to_json(F.create_map(QUOTE, F.col("score"))).alias("json")
-    )
+    return files.score_json(scored, keep=[SEQ])
 
 
 # --- Projections, filters, expressions -----------------------------------------------
@@ -253,12 +338,13 @@ def fill_defaults(t: Tables) -> DataFrame:
 @query(
     sql.after(
         sql.REPORT,
-        "SELECT src_seq, quote_no, coalesce(customer_no, 0) AS customer_no,"
+        "SELECT src_seq, coalesce(quote_no, '0') AS quote_no, coalesce(customer_no, 0) AS customer_no,"
+        " coalesce(sales_rep, '0') AS sales_rep, accept_ts,"
         " CAST(coalesce(paid_amount, 0) AS DECIMAL(18,2)) AS paid_amount FROM report",
     )
 )
 def fill_all_zero(t: Tables) -> DataFrame:
-    return prep.fill_all_zero(t.report.select(SEQ, QUOTE, CUSTOMER, AMOUNT))
+    return prep.fill_all_zero(t.report.select(SEQ, QUOTE, CUSTOMER, REP, ACCEPT, AMOUNT))
 
 
 @query(
@@ -302,9 +388,8 @@ _KEPT = sorted([SEQ, *QUOTE_COLUMNS, *LABELS, "sales_cycle"])
 
 @query(sql.after(sql.CLEAN, f"SELECT {names(*_KEPT)} FROM clean"))
 def drop_aux_columns(t: Tables) -> DataFrame:
-    split = ordering.split_groups(t.clean, [PRODUCT])
-    lagged = ordering.add_previous(split, [PRODUCT], {"product_amt_lag": AMOUNT})
-    epochs = history.order_epochs(lagged).drop(ordering.POS, ordering.CHUNK, ordering.SPLIT)
+    lagged = t.clean.with_rows(ordering.beside(t.clean, history.lag_columns(t.clean)))
+    epochs = history.order_epochs(lagged).drop(ordering.POS, ordering.CHUNK)
     return prep.drop_auxiliary(epochs)
 
 
@@ -387,18 +472,20 @@ def feature_order(t: Tables) -> DataFrame:
     return prep.numbered_features(t.features.select(SEQ, *FEATURES), keep=[SEQ])
 
 
-_POINTS = "SELECT {0} AS upper, CAST(paid_amount AS DOUBLE) AS actual, product_aov AS predicted FROM feat WHERE paid_amount BETWEEN 0 AND {0} AND product_aov BETWEEN 0 AND {0}"
+# Amounts and figures in tens, so that points lie inside and outside of both ranges.
+_TENS = "SELECT CAST(paid_amount AS DOUBLE) / 10 AS actual, product_aov / 10 AS predicted FROM feat"
+_POINTS = "SELECT {0} AS upper, actual, predicted FROM points WHERE actual BETWEEN 0 AND {0} AND predicted BETWEEN 0 AND {0}"
 
 
-@query(sql.after(sql.FALLBACK, f"{_POINTS.format(60000)} UNION ALL {_POINTS.format(1000)}"))
+@query(sql.after(sql.FALLBACK, f"SELECT * FROM (WITH points AS ({_TENS}) {_POINTS.format(60000)} UNION ALL {_POINTS.format(20000)})"))
 def actual_vs_predicted(t: Tables) -> DataFrame:
     """Stand-in prediction: the product's average order value."""
-    points = t.features.selectExpr("double(paid_amount) AS actual", "product_aov AS predicted")
+    points = t.features.selectExpr("double(paid_amount) / 10 AS actual", "product_aov / 10 AS predicted")
     parts = [
         metrics.actual_vs_predicted(points, "actual", "predicted", upper).select(
             F.lit(upper).alias("upper"), "actual", "predicted"
         )
-        for upper in (60000, 1000)
+        for upper in (60000, 20000)
     ]
     return parts[0].unionByName(parts[1])
 
@@ -424,9 +511,11 @@ def quote_order_amount(t: Tables) -> DataFrame:
     )
 )
 def attach_predictions(t: Tables) -> DataFrame:
-    """Stand-in prediction: the scaled close rate of the product."""
+    """Stand-in prediction: the scaled close rate of the product, made elsewhere. Repeated
+    predictions of a row leave it one row."""
     raw, scaled = t.both
     scored = scaled.withColumn("score", F.round("product_close_rate", 4))
+    scored = scored.unionByName(scored.filter(f"{SEQ} % 3 = 0"))
     return scoring.attach_predictions(raw, scored, ["score"]).select(
         SEQ, QUOTE, "close_2w", "product_close_rate", "score"
     )
@@ -443,8 +532,7 @@ def attach_predictions(t: Tables) -> DataFrame:
     )
 )
 def raw_scaled_join(t: Tables) -> DataFrame:
-    raw, scaled = t.both_values
-    joined = scoring.raw_and_scaled(raw, scaled)
+    joined = scoring.raw_and_scaled(*t.raw_values_and_scaling)
     return joined.selectExpr(
         SEQ,
         QUOTE,
@@ -518,7 +606,7 @@ def metric_accuracy(t: Tables) -> DataFrame:
     )
 )
 def metric_auc(t: Tables) -> DataFrame:
-    return metrics.auc(_stand_in(t), partitions=t.partitions).selectExpr("round(auc, 6) AS auc")
+    return metrics.auc(_stand_in(t)).selectExpr("round(auc, 6) AS auc")
 
 
 _CELLS = {"true_positive": (1, 1), "true_negative": (0, 0), "false_positive": (0, 1), "false_negative": (1, 0)}
@@ -557,31 +645,40 @@ def metric_mse(t: Tables) -> DataFrame:
 
 # --- Windows -------------------------------------------------------------------------
 
-_LAGGED = {"product": PRODUCT, "cust": CUSTOMER}
+def _lag_sql(kinds: list[str]) -> str:
+    lags = [
+        f"CASE WHEN {k} IS NULL THEN 0 ELSE coalesce(lag({history.LAGGED[n]}) OVER (PARTITION BY {k} {sql.ORD}), 0) END AS {g}_{n}_lag"
+        for g, k in GROUPS.items()
+        for n in kinds
+    ]
+    return names(
+        *lags,
+        *[f"coalesce(lag({history.LAGGED[n]}) OVER ({sql.ORD}), 0) AS {history.LAGGED_OVERALL[n]}" for n in kinds],
+    )
+
+
+@query(sql.after(sql.CLEAN, f"SELECT src_seq, {_lag_sql(list(history.LAGGED))} FROM clean"))
+def group_lag(t: Tables) -> DataFrame:
+    """All 24 lag columns of the groupings and the three over all rows."""
+    lagged = ordering.beside(t.clean, history.lag_columns(t.clean))
+    return lagged.select(SEQ, *[c for c in lagged.columns if c.endswith("_lag")])
+
+
+_FRAME = [QUOTE, CUSTOMER, REP, AMOUNT, *VALUE_FEATURES]
+_ZERO_TEXT = {QUOTE: "''", CUSTOMER: "0", REP: "'0'"}
 
 
 @query(
     sql.after(
-        sql.CLEAN,
-        "SELECT src_seq, "
-        + names(
-            *[
-                f"CASE WHEN {k} IS NULL THEN 0 ELSE coalesce(lag({c}) OVER (PARTITION BY {k} {sql.ORD}), 0) END AS {g}_{n}_lag"
-                for g, k in _LAGGED.items()
-                for n, c in (("order", "whether_order"), ("sc", "sales_cycle"))
-            ]
-        )
-        + " FROM clean",
+        sql.FALLBACK,
+        f"SELECT src_seq, {names(*[f'coalesce({c}, {_ZERO_TEXT[c]}) AS {c}' if c in _ZERO_TEXT else c for c in _FRAME])},"
+        f" {_lag_sql(['amt', 'order'])} FROM feat",
     )
 )
-def group_lag(t: Tables) -> DataFrame:
-    rows = t.clean
-    for group, key in _LAGGED.items():
-        lags = {f"{group}_order_lag": "whether_order", f"{group}_sc_lag": "sales_cycle"}
-        split = ordering.split_groups(rows, [key])
-        lagged = ordering.add_previous(split, [key], lags).rows.drop(ordering.SPLIT)
-        rows = rows.with_rows(lagged.na.fill(0, list(lags)))
-    return rows.rows.select(SEQ, *[c for c in rows.rows.columns if c.endswith("_lag")])
+def value_frame(t: Tables) -> DataFrame:
+    """The value frame with its lag columns, all that is missing filled."""
+    frame = lead_value.value_frame(t.report, t.enrich, task_rows=CHUNK_ROWS)
+    return frame.select(SEQ, *_FRAME, *[c for c in frame.columns if c.endswith("_lag")])
 
 
 @query(sql.after(sql.FLAGGED, "SELECT src_seq, whether_new FROM flagged"))
@@ -602,7 +699,7 @@ def global_history(t: Tables) -> DataFrame:
 
 def _one_metric(t: Tables, kind: str) -> DataFrame:
     """One metric for all eight groupings, before the fallback."""
-    customers = ordering.place_chunks(t.clean, history.customer_figures(t.clean, [kind]))
+    customers = history.customer_figures(t.clean, [kind])
     shared = history.shared_figures(t.clean, SHARED_GROUPS, [kind])
     rows = ordering.beside(t.clean, customers, shared)
     return rows.select(SEQ, *[f"{g}_{kind}" for g in GROUPS])
@@ -628,8 +725,7 @@ def history_sales_cycle(t: Tables) -> DataFrame:
 
 
 def _customers(t: Tables) -> DataFrame:
-    figures = ordering.place_chunks(t.clean, history.customer_figures(t.clean, []))
-    return ordering.beside(t.clean, figures)
+    return history.without_customer(ordering.beside(t.clean, history.customer_figures(t.clean, [])))
 
 
 @query(sql.after(sql.HISTORY, "SELECT src_seq, cust_tot_spend, cust_tot_orders FROM history"))
@@ -671,7 +767,6 @@ def running_totals_example(t: Tables) -> DataFrame:
         [CUSTOMER, REQUEST, ORDER, PRODUCT],
         AMOUNT,
         {"cust_tot": CUSTOMER, "type_tot": PRODUCT},
-        t.partitions,
     )
 
 
@@ -697,112 +792,167 @@ def split_75_25(t: Tables) -> DataFrame:
 # --- Models --------------------------------------------------------------------------
 
 
+# A model's scores are not SQL. Its queries give the rows with their labels, which the SQL
+# knows, and whether class and score of each are what they must be.
+_VALID = "coalesce({0}_prob BETWEEN 0 AND 1 AND {0} = int({0}_prob > 0.5), false)"
+_TRUE = "true AS valid"
+_TEST_ROWS = f"FROM clean WHERE {sql.IS_TEST}"
+
+
+def _judged(scored: DataFrame, *columns: str) -> DataFrame:
+    return scored.selectExpr(*columns, f"{_VALID.format('pred')} AS valid")
+
+
 def _tested(t: Tables, pipeline, label: str) -> DataFrame:
     train, test = close_rate.train_and_test(t.both[1])
     model = models.fit(pipeline, train, label)
-    return models.predict_class(model, test, "pred").select(SEQ, QUOTE, label, "pred", "pred_prob")
+    return _judged(models.predict_class(model, test, "pred"), SEQ, QUOTE, label)
 
 
 def _refitted(t: Tables, label: str) -> DataFrame:
     scaled = t.both[1]
-    model = models.fit(models.boosted_classifier(), scaled, label)
-    return models.predict_class(model, scaled, "pred").select(SEQ, QUOTE, label, "pred", "pred_prob")
+    model = models.fit(models.boosted_classifier(**t.limit), scaled, label)
+    return _judged(models.predict_class(model, scaled, "pred"), SEQ, QUOTE, label)
+
+
+def _test_sql(label: str) -> str:
+    return sql.after(sql.CLEAN, f"SELECT src_seq, quote_no, {label}, {_TRUE} {_TEST_ROWS}")
 
 
-@query()
+def _all_sql(label: str) -> str:
+    return sql.after(sql.CLEAN, f"SELECT src_seq, quote_no, {label}, {_TRUE} FROM clean")
+
+
+@query(_test_sql("close_3d"))
 def mlp_3d(t: Tables) -> DataFrame:
-    return _tested(t, models.neural_net(), "close_3d")
+    return _tested(t, models.neural_net(**t.limit), "close_3d")
 
 
-@query()
+@query(_test_sql("close_2w"))
 def mlp_2w(t: Tables) -> DataFrame:
-    return _tested(t, models.neural_net(), "close_2w")
+    return _tested(t, models.neural_net(**t.limit), "close_2w")
 
 
-@query()
+@query(_test_sql("close_3d"))
 def gbt_3d(t: Tables) -> DataFrame:
-    return _tested(t, models.boosted_classifier(), "close_3d")
+    return _tested(t, models.boosted_classifier(**t.limit), "close_3d")
 
 
-@query()
+@query(_test_sql("close_2w"))
 def gbt_2w(t: Tables) -> DataFrame:
-    return _tested(t, models.boosted_classifier(), "close_2w")
+    return _tested(t, models.boosted_classifier(**t.limit), "close_2w")
 
 
-@query()
+@query(_all_sql("close_3d"))
 def gbt_full_3d(t: Tables) -> DataFrame:
     return _refitted(t, "close_3d")
 
 
-@query()
+@query(_all_sql("close_2w"))
 def gbt_full_2w(t: Tables) -> DataFrame:
     return _refitted(t, "close_2w")
 
 
-@query()
+@query(sql.after(sql.CLEAN, f"SELECT count(*) AS n_rows, CAST(sum(paid_amount) AS DECIMAL(38,2)) AS amount, true AS mse_valid {_TEST_ROWS}"))
 def value_gbt(t: Tables) -> DataFrame:
-    """Test error of the value model."""
-    return lead_value.test_error(t.both_values[1])
+    """Test rows, their amount, and whether the error of the value model is a number that the
+    spread of the amounts does not exceed by far."""
+    tested = lead_value.tested_values(t.both_values[1], **t.limit)
+    return tested.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.col(LABEL).cast("decimal(28,2)")).cast("decimal(38,2)").alias("amount"),
+        (F.avg(F.pow(F.col(LABEL) - F.col(PREDICTION), 2)) < 4 * F.avg(F.pow(LABEL, F.lit(2)))).alias("mse_valid"),
+    )
 
 
-@query()
+@query(sql.after(sql.CLEAN, f"SELECT src_seq, quote_no, paid_amount, {_TRUE} FROM clean"))
 def value_gbt_full(t: Tables) -> DataFrame:
-    raw, scaled = t.both_values
-    return lead_value.full_values(raw, scaled).select(
-        SEQ, QUOTE, AMOUNT, lead_value.PREDICTED
-    )
+    """The full value model next to raw and scaled rows; values below 20 are 0."""
+    scored = lead_value.full_values(*t.raw_values_and_scaling, **t.limit)
+    value = lead_value.PREDICTED
+    return scored.selectExpr(SEQ, QUOTE, AMOUNT, f"coalesce({value} = 0 OR {value} >= 20, false) AS valid")
 
 
-@query()
+@query(sql.after(sql.FALLBACK, f"SELECT src_seq, quote_no, close_3d, close_2w, cust_tot_orders, product_close_rate, {_TRUE} FROM feat"))
 def scored_quotes(t: Tables) -> DataFrame:
-    return close_rate.full_predictions(*t.both)
+    """Raw rows with the predictions of both full models."""
+    scored = close_rate.full_predictions(*t.raw_and_scaling, **t.limit)
+    valid = " AND ".join(_VALID.format(f"pred_{label}") for label in LABELS)
+    return scored.selectExpr(SEQ, QUOTE, *LABELS, "cust_tot_orders", "product_close_rate", f"{valid} AS valid")
 
 
-@query()
+def _report_sql() -> str:
+    parts = [
+        f"SELECT '{name}, {horizon}' AS report, count(*) AS n_rows, CAST(sum({label}) AS BIGINT) AS positives, {_TRUE} {_TEST_ROWS}{more}"
+        for label, horizon in close_rate.HORIZON.items()
+        for name, more in (("MLP", ""), ("GBT", ""), ("GBT for New Customer", " AND whether_new = 1"))
+    ]
+    return sql.after(sql.CLEAN, " UNION ALL ".join(parts))
+
+
+@query(_report_sql())
 def model_report(t: Tables) -> DataFrame:
-    return close_rate.model_reports(
-        t.both[1], partitions=t.partitions
+    """Size and positives of each report, and whether its figures fit together."""
+    limit = {"rounds": t.rounds, "net_rounds": t.rounds} if t.rounds else {}
+    report = close_rate.model_reports(t.both[1], **limit)
+    n = "(true_positive + true_negative + false_positive + false_negative)"
+    return report.selectExpr(
+        "report",
+        f"{n} AS n_rows",
+        "true_positive + false_negative AS positives",
+        f"auc BETWEEN 0 AND 1 AND abs(accuracy - (true_positive + true_negative) / {n}) < 1e-12 AS valid",
     )
 
 
-@query()
+@query("SELECT true AS known, true AS ranked, true AS complete")
 def feature_importance(t: Tables) -> DataFrame:
+    """Whether the counted splits are those of all trees, by known features, most used first."""
     train, _ = close_rate.train_and_test(t.both[1])
-    model = models.fit(models.boosted_classifier(), train, "close_2w")
-    return models.split_counts(t.spark, model)
+    model = models.fit(models.boosted_classifier(**t.limit), train, "close_2w")
+    inner = sum((tree.numNodes - 1) // 2 for tree in model.stages[-1].trees)
+    ranked = models.split_counts(t.spark, model).withColumn("place", F.monotonically_increasing_id())
+    later = ranked.select(F.collect_list("splits").alias("s"), F.collect_set("feature").alias("f"))
+    known = F.array(*[F.lit(c) for c in FEATURES])
+    return later.select(
+        (F.size(F.array_except("f", known)) == 0).alias("known"),
+        (F.col("s") == F.reverse(F.array_sort("s"))).alias("ranked"),
+        (F.aggregate("s", F.lit(0).cast("bigint"), lambda a, b: a + b) == inner).alias("complete"),
+    )
 
 
-@query()
+@query(sql.after(sql.CLEAN, f"SELECT src_seq, quote_no, close_2w, {_TRUE} {_TEST_ROWS} AND whether_new = 1"))
 def new_customer_test_scores(t: Tables) -> DataFrame:
-    scored = close_rate.new_customer_test_scores(*t.both)
-    return scored.select(SEQ, QUOTE, "close_2w", "pred", "pred_prob")
+    scored = close_rate.new_customer_test_scores(*t.raw_and_scaling, **t.limit)
+    return _judged(scored, SEQ, QUOTE, "close_2w")
 
 
-@query()
+@query(sql.after(sql.CLEAN, f"SELECT src_seq, quote_no, true AS same, true AS same_as_scaled {_TEST_ROWS}"))
 def model_roundtrip(t: Tables) -> DataFrame:
-    """Scores before and after the model was saved and loaded."""
-    train, test = close_rate.train_and_test(t.both[1])
-    model = models.fit(models.boosted_classifier(), train, "close_3d")
+    """A model saved with its scaling scores raw rows as before, and as the scaled rows are."""
+    raw, scaling = t.raw_and_scaling
+    train, test = prep.split(raw)
+    model = close_rate.fit_on_raw(train, scaling, "close_3d", **t.limit)
     path = t.path("model")
     models.save_model(model, path)
-    before = models.predict_class(model, test, "before")
-    return models.predict_class(models.load_model(path), before, "after").select(
-        SEQ, "before_prob", "after_prob"
-    )
+    loaded = models.load_model(path)
+    scored = models.predict_class(loaded, models.predict_class(model, test, "before"), "after")
+    both = models.predict_class(models.on_scaled(loaded), scaling.apply(scored, models.SUFFIX), "scaled")
+    return both.selectExpr(SEQ, QUOTE, "before_prob = after_prob AS same", "scaled_prob = after_prob AS same_as_scaled")
 
 
-def _trained_from_json(t: Tables):
-    source, target = t.path("training-json"), t.path("trainer-model")
+def _trained_from_json(t: Tables) -> str:
+    """The folder of a model trained on JSON records."""
+    source, root = t.path("training-json"), t.path("trainer-model")
     files.training_rows(t.both[1]).write.json(source)
-    trainer.train_from_json(t.spark, source, target)
-    return models.load_model(target)
+    trainer.train_from_json(t.spark, source, root, **t.limit)
+    return root
 
 
-@query()
+@query(sql.after(sql.CLEAN, f"SELECT quote_no, {_TRUE} FROM clean"))
 def train_from_json(t: Tables) -> DataFrame:
-    model = _trained_from_json(t)
-    scaled = t.both[1]
-    return trainer.score_records(scaled.select(QUOTE, *FEATURES), model)
+    model = models.load_current(t.spark, _trained_from_json(t))
+    scored = trainer.score_records(t.both[1].select(QUOTE, *FEATURES), model)
+    return scored.selectExpr(QUOTE, "coalesce(score BETWEEN 0 AND 1, false) AS valid")
 
 
 @query(
@@ -820,14 +970,18 @@ def score_latest(t: Tables) -> DataFrame:
 # --- Streaming -----------------------------------------------------------------------
 
 
-@query()
+@query(sql.after(sql.CLEAN, "SELECT quote_no, true AS same_as_batch FROM clean"))
 def stream_score(t: Tables) -> DataFrame:
-    model = _trained_from_json(t)
+    """Every record once, and whether all scores are those of the batch."""
+    root = _trained_from_json(t)
     source, target = t.path("scoring-json"), t.path("stream-scores")
     files.scoring_rows(t.both[1]).write.json(source)
     records = streams.read_records(t.spark, source)
-    streams.score_stream(records, model, target, t.path("stream-state")).awaitTermination()
-    return t.spark.read.schema("quote_no string, score double").parquet(target)
+    streams.score_stream(records, root, target, t.path("stream-state")).awaitTermination()
+    scored = streams.read_scores(t.spark, target).select(QUOTE, "score")
+    batch = trainer.score_records(files.read_scoring_json(t.spark, source), models.load_current(t.spark, root))
+    same = scored.exceptAll(batch).isEmpty() and batch.exceptAll(scored).isEmpty()
+    return scored.select(QUOTE, F.lit(same).alias("same_as_batch"))
 
 
 @query(
@@ -865,5 +1019,5 @@ def lead_features(t: Tables) -> DataFrame:
     )
 )
 def value_features(t: Tables) -> DataFrame:
-    table = lead_value.value_table(t.report, t.enrich, t.partitions)
+    table = lead_value.value_table(t.report, t.enrich, task_rows=CHUNK_ROWS)
     return table.select(SEQ, QUOTE, AMOUNT, *VALUE_FEATURES)

@@ -67,7 +67,7 @@ DEDUPED = f"""deduped AS (
   WHERE place = 1 OR order_number = 'no_order')"""
 
 DAYS = "CAST(floor(date_diff('second', request_ts, accept_ts) / 86400.0) AS INTEGER)"
-CLEAN = f"""clean AS (
+CLEAN = f"""clean AS MATERIALIZED (
   SELECT *,
     CASE WHEN days < 4 THEN 1 ELSE 0 END AS close_3d,
     CASE WHEN days < 15 THEN 1 ELSE 0 END AS close_2w,
@@ -120,7 +120,7 @@ def _history() -> str:
 
 HISTORY = _history()
 
-# Quotes since the last order, in the reference's own steps.
+# Quotes since the last order, step by step.
 SINCE = f"""epochs AS (
   SELECT *, CASE WHEN customer_no IS NULL THEN 0 ELSE
     row_number() OVER (PARTITION BY customer_no, order_grp {ORD}) - 1 END AS quotes_since
@@ -140,7 +140,7 @@ def _fallback() -> str:
         for g in GROUPS
         for k, o in (("aov", "aov"), ("close_rate", "avg_close_rate"), ("asc", "avg_sales_cycle"))
     ]
-    return f"feat AS (SELECT * REPLACE ({', '.join(replaced)}) FROM since)"
+    return f"feat AS MATERIALIZED (SELECT * REPLACE ({', '.join(replaced)}) FROM since)"
 
 
 FALLBACK = _fallback()

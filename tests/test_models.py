@@ -1,12 +1,15 @@
 """Model checks: ranges, planted signal, round trips, stream equals batch."""
 
+import json
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from leadtide.operators import metrics, models, prep
+from leadtide import remote
+from leadtide.operators import metrics, models, prep, scoring
 from leadtide.plans import close_rate, lead_value, trainer
 from leadtide.registry.catalog import Tables
 from leadtide.schema import FEATURES, QUOTE, SEQ
@@ -74,8 +77,8 @@ def test_reports_cover_models_labels_and_new_customers(tables):
 
 
 def test_full_predictions_keep_every_row_once(tables):
-    raw, scaled = tables.both
-    scored = close_rate.full_predictions(raw, scaled, rounds=2)
+    raw, scaling = tables.raw_and_scaling
+    scored = close_rate.full_predictions(raw, scaling, rounds=2)
     assert scored.count() == raw.count() == scored.select(SEQ).distinct().count()
     added = set(scored.columns) - set(raw.columns)
     assert added == {"pred_close_3d", "pred_close_3d_prob", "pred_close_2w", "pred_close_2w_prob"}
@@ -83,7 +86,7 @@ def test_full_predictions_keep_every_row_once(tables):
 
 
 def test_new_customer_scores_are_test_rows_of_new_customers(tables):
-    scored = close_rate.new_customer_test_scores(*tables.both, rounds=2)
+    scored = close_rate.new_customer_test_scores(*tables.raw_and_scaling, rounds=2)
     marked = prep.mark_test_rows(scored)
     assert scored.count() > 0
     assert marked.filter("NOT is_test OR whether_new <> 1").count() == 0
@@ -91,7 +94,7 @@ def test_new_customer_scores_are_test_rows_of_new_customers(tables):
 
 def test_value_plan(tables):
     raw, scaled = tables.both_values
-    joined = lead_value.full_values(raw, scaled, rounds=2)
+    joined = lead_value.full_values(*tables.raw_values_and_scaling, rounds=2)
     assert joined.count() == raw.count()
     assert joined.filter("predicted_amount < 20 AND predicted_amount <> 0").count() == 0
     assert {"aov_raw", "aov_scaled", "paid_amount", "predicted_amount"} <= set(joined.columns)
@@ -106,37 +109,162 @@ def trained(spark, tables, tmp_path_factory):
     return trainer.train_from_json(spark, source, target, rounds=2), target
 
 
-def test_a_loaded_model_scores_alike(tables, trained):
-    model, target = trained
+def test_a_loaded_model_scores_alike(spark, tables, trained):
+    model, root = trained
     records = tables.both[1].select(QUOTE, *FEATURES)
     one = trainer.score_records(records, model)
-    two = trainer.score_records(records, models.load_model(target))
+    two = trainer.score_records(records, models.load_current(spark, root))
     assert one.exceptAll(two).count() == 0 and one.count() == two.count() > 0
 
 
-def test_retraining_replaces_the_model(spark, tables, trained, tmp_path):
-    source, target = str(tmp_path / "training"), str(tmp_path / "model")
+def test_a_saved_model_scores_raw_quotes(tables, tmp_path):
+    """Scaling is part of the model: after a reload, raw rows score as the scaled rows do."""
+    raw, scaling = tables.raw_and_scaling
+    models.save_model(close_rate.fit_on_raw(raw, scaling, "close_2w", rounds=3), str(tmp_path / "m"))
+    plain = models.fit(models.boosted_classifier(rounds=3), tables.both[1], "close_2w")
+    want = models.predict_class(plain, tables.both[1], "p").select(SEQ, "p", "p_prob")
+    got = models.predict_class(models.load_model(str(tmp_path / "m")), raw, "p")
+    assert got.columns == [*raw.columns, "p", "p_prob"]
+    assert got.select(SEQ, "p", "p_prob").exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def test_repeated_customers_of_the_attributes_repeat_no_prediction(tables):
+    raw, scaling = tables.raw_and_scaling
+    twice = raw.unionByName(raw)
+    scored = close_rate.full_predictions(twice, scaling, rounds=1)
+    both = scoring.raw_and_scaled(twice, scaling)
+    assert scored.count() == both.count() == twice.count() == 2 * raw.count()
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (scored, both)]
+    assert not any("Exchange" in plan.replace("ReusedExchange", "") and "Join" in plan for plan in plans)
+    guesses = raw.select(SEQ, F.lit(0.5).alias("p"))
+    guesses = guesses.unionByName(guesses).unionByName(raw.limit(3).select(SEQ, F.lit(0.7).alias("p")))
+    assert scoring.attach_predictions(raw, guesses, ["p"]).count() == raw.count()
+
+
+def test_one_run_of_the_models_gives_the_whole_report(spark):
+    rng = random.Random(3)
+    rows = [(f"m{i % 3}", int(rng.random() < 0.4), int(rng.random() < 0.5), rng.randrange(12) / 12) for i in range(900)]
+    scored = spark.createDataFrame(rows, "report string, label int, prediction int, score double")
+    report = {r["report"]: r for r in metrics.classification_report(scored, partitions=3).collect()}
+    separate = metrics.accuracy(scored, "report").join(metrics.auc(scored, "report"), "report")
+    separate = separate.join(metrics.confusion(scored, "report"), "report")
+    for r in separate.collect():
+        assert {k: pytest.approx(v) for k, v in r.asDict().items()} == report[r["report"]].asDict()
+    counted = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: counted.add(1) or x, "double")
+    metrics.classification_report(scored.withColumn("score", seen("score"))).collect()
+    assert counted.value == len(rows)
+
+
+def test_scaling_does_not_depend_on_the_partitions(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1) * 10.0 ** rng.randrange(-6, 7), rng.random() / 3, 7.25, None if i % 3 else 1e300 * rng.random(), 0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    names = list("abcde")
+    one = prep.fit_scaling(df.coalesce(1), names)
+    for n in (3, 8):
+        assert prep.fit_scaling(df.repartition(n, "a"), names) == one
+    for k, c in enumerate(names):
+        values = [Fraction(r[k]) for r in rows if r[k] is not None]
+        mean = sum(values) / len(values)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)) if k != 3 else one.deviation[c]
+        assert one.mean[c] == pytest.approx(float(mean), rel=1e-14) and one.deviation[c] == pytest.approx(spread, rel=1e-12)
+    assert one.deviation["c"] == one.deviation["e"] == 0.0
+    assert prep.fit_scaling(df.limit(0), ["a"]) == prep.Scaling({"a": 0.0}, {"a": 0.0})
+    with pytest.raises(ValueError, match="not finite"):
+        prep.fit_scaling(spark.createDataFrame([(float("inf"),)], "a double"), ["a"])
+
+
+def test_retraining_moves_the_pointer(spark, tables, tmp_path):
+    source, root = str(tmp_path / "training"), str(tmp_path / "model")
     files.training_rows(tables.both[1]).write.json(source)
-    for label, rounds in (("close_3d", 1), ("close_2w", 2)):
-        trainer.train_from_json(spark, source, target, label, rounds)
-    assert len(models.load_model(target).stages[-1].trees) == 2
+    trainer.train_from_json(spark, source, root, "close_3d", 1)
+    first = models.current_version(spark, root)
+    trainer.train_from_json(spark, source, root, "close_2w", 2)
+    assert len(models.load_current(spark, root).stages[-1].trees) == 2
+    second = models.current_version(spark, root)
+    assert second > first
+    models.set_current(spark, root, first)
+    assert len(models.load_current(spark, root).stages[-1].trees) == 1
+    with pytest.raises(FileNotFoundError):
+        models.set_current(spark, root, "nothing")
+
+
+def test_a_retrain_that_fails_keeps_the_model(spark, tables, tmp_path, monkeypatch):
+    source, root = str(tmp_path / "training"), str(tmp_path / "model")
+    files.training_rows(tables.both[1]).write.json(source)
+    trainer.train_from_json(spark, source, root, rounds=1)
+    before = models.current_version(spark, root)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text("[1, 2")
+    with pytest.raises(Exception):
+        trainer.train_from_json(spark, str(tmp_path / "bad"), root, rounds=1)
+
+    def half(model, path):  # fails after some files are written
+        model.stages[0].save(f"{path}/stages")
+        raise OSError("disk full")
+
+    monkeypatch.setattr(models, "save_model", half)
+    with pytest.raises(OSError):
+        trainer.train_from_json(spark, source, root, rounds=2)
+    assert models.current_version(spark, root) == before
+    assert len(models.load_current(spark, root).stages[-1].trees) == 1
 
 
 def test_stream_scores_equal_batch_scores(spark, tables, trained, tmp_path):
-    model, _ = trained
+    model, root = trained
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = files.scoring_rows(tables.both[1])
     rows.filter("`Quote.No` < '5'").repartition(3).write.json(source)
-    streams.score_stream(streams.read_records(spark, source), model, target, state).awaitTermination()
+    streams.score_stream(streams.read_records(spark, source), root, target, state).awaitTermination()
     # Later files are picked up by the next start; earlier ones are not scored again.
     rows.filter("`Quote.No` >= '5'").write.mode("append").json(source)
-    streams.score_stream(streams.read_records(spark, source), model, target, state).awaitTermination()
-    stream = spark.read.parquet(target)
+    streams.score_stream(streams.read_records(spark, source), root, target, state).awaitTermination()
+    stream = streams.read_scores(spark, target).drop("model")
     batch = trainer.score_records(tables.both[1].select(QUOTE, *FEATURES), model)
     assert stream.count() == batch.count()
     assert stream.exceptAll(batch).count() == 0
 
 
+def test_a_running_stream_changes_model_at_a_batch_border(spark, tables, tmp_path):
+    training, source, root, target = (str(tmp_path / n) for n in ("training", "in", "model", "out"))
+    files.training_rows(tables.both[1]).write.json(training)
+    trainer.train_from_json(spark, training, root, rounds=1)
+    rows = files.scoring_rows(tables.both[1])
+    rows.filter("`Quote.No` < '5'").coalesce(1).write.json(source)
+    stream = streams.score_stream(
+        streams.read_records(spark, source), root, target, str(tmp_path / "state"), forever=True
+    )
+    stream.processAllAvailable()
+    first = models.current_version(spark, root)
+    trainer.train_from_json(spark, training, root, "close_2w", rounds=2)
+    second = models.current_version(spark, root)
+    rows.filter("`Quote.No` >= '5'").coalesce(1).write.mode("append").json(source)
+    stream.processAllAvailable()
+    stream.stop()
+    scored = streams.read_scores(spark, target)
+    by_model = {r["model"]: r["n"] for r in scored.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    assert by_model == {first: rows.filter("`Quote.No` < '5'").count(), second: rows.filter("`Quote.No` >= '5'").count()}
+    late = scored.filter(F.col("model") == second).drop("model")
+    batch = trainer.score_records(tables.both[1].select(QUOTE, *FEATURES), models.load_version(root, second))
+    assert late.exceptAll(batch).count() == 0
+
+
+def test_raw_records_are_scored_by_a_stream(spark, tables, tmp_path):
+    raw, scaling = tables.raw_and_scaling
+    source, root, target = (str(tmp_path / n) for n in ("in", "model", "out"))
+    model = close_rate.fit_on_raw(raw, scaling, "close_3d", rounds=2)
+    models.save_version(spark, model, root)
+    raw.select(QUOTE, *FEATURES).write.json(source)
+    schema = raw.select(QUOTE, *FEATURES).schema
+    score = lambda rows, m: models.predict_class(m, rows, "p").select(QUOTE, F.col("p_prob").alias("score"))
+    streams.score_stream(
+        streams.read_records(spark, source, schema), root, target, str(tmp_path / "state"), score=score
+    ).awaitTermination()
+    got = streams.read_scores(spark, target).drop("model")
+    assert got.exceptAll(score(raw, model)).count() == 0 and got.count() == raw.count()
+
+
 def test_latest_score_wins_across_batches(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "quote_no string, score double, arrival bigint"
@@ -153,3 +281,37 @@ def test_latest_score_wins_across_batches(spark, tmp_path):
     assert arrive([("q", 0.1, 1), ("q", 0.3, 3), ("r", 0.2, 2)]) == {"q": 0.3, "r": 0.2}
     # A late record with an earlier arrival does not win.
     assert arrive([("q", 0.9, 2), ("r", 0.8, 5), ("s", 0.5, 4)]) == {"q": 0.3, "r": 0.8, "s": 0.5}
+
+
+def test_latest_scores_stay_few_files_over_many_batches(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "quote_no string, score double, arrival bigint"
+    rng = random.Random(9)
+    rows = [(f"q{rng.randrange(30)}", float(i), (i * 7919) % 5003) for i in range(800)]
+    (tmp_path / "in").mkdir()
+    for k in range(40):
+        lines = [json.dumps({"quote_no": q, "score": s, "arrival": a}) for q, s, a in rows[k::40]]
+        (tmp_path / "in" / f"{k:03d}.json").write_text("\n".join(lines))
+    records = streams.read_records(spark, source, schema, files_per_batch=1)
+    streams.latest_score_stream(records, "score", "arrival", target, state, fold_every=5).awaitTermination()
+    folders = remote.names(spark, target)
+    assert sum(n.startswith("snapshot=") for n in folders) == 2
+    assert sum(n.startswith("batch=") for n in folders) <= 10
+    assert len(streams._parts(spark, target)) <= 6
+
+    def latest():
+        found = streams.read_latest_scores(spark, target, "score", "arrival")
+        return {r["quote_no"]: r["score"] for r in found.collect()}
+
+    want = {}
+    for q, s, a in sorted(rows, key=lambda r: r[2]):
+        want[q] = s
+    assert latest() == want
+    # A batch that is repeated after it was folded, and a fold that is repeated.
+    again = spark.createDataFrame([rows[0]], schema)
+    streams._latest(again, "score", "arrival").write.mode("overwrite").parquet(f"{target}/batch=3")
+    streams.fold(spark, target, 39, "score", "arrival")
+    assert latest() == want
+    # A snapshot that was broken off does not count.
+    (tmp_path / "out" / "snapshot=99").mkdir()
+    assert latest() == want

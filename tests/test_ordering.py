@@ -10,11 +10,11 @@ from small import by_seq
 from leadtide.operators import history, metrics
 from leadtide.operators.cleaning import clean_quotes, dedupe_orders, order_quotes
 from leadtide.operators.ordering import (
-    add_previous,
-    add_prior,
+    add_shared_previous,
     add_shared_prior,
+    beside,
+    member_figures,
     number_rows,
-    split_groups,
 )
 from leadtide.sources import testdata
 
@@ -86,33 +86,62 @@ def test_shared_prior_sums(spark, shape):
 
 
 @pytest.mark.parametrize("shape", SHAPES)
-def test_prior_sums_of_split_groups(spark, shape):
+def test_member_figures(spark, shape):
     rows = skewed()
-    split = split_groups(numbered(spark, rows, shape), ["who"])
-    prior = add_prior(add_prior(split, "who", ["who"], ["n"]), "both", ["who", "kind"], ["n"])
-    got = by_seq(prior.rows, "who__n", "both__n")
-    who = brute_prior(rows, lambda r: r[2])
-    both = brute_prior(rows, lambda r: None if None in (r[2], r[3]) else (r[2], r[3]))
-    assert got == {s: (who[s], both[s]) for s in who}
+    ordered = numbered(spark, rows, shape)
+    marked = ordered.with_rows(ordered.rows.withColumn("mark", F.when(F.col("n") % 9 == 0, 1).otherwise(0)))
+    figures = member_figures(marked, "who", "who", ["n", "mark"], "mark", {"before": "n", "kind_before": "kind"})
+    got = by_seq(beside(marked, figures), "who__n", "who__mark", "who__since", "before", "kind_before")
+    sums, marks, since, last, want = defaultdict(int), defaultdict(int), defaultdict(int), {}, {}
+    for seq, _, who, kind, n in in_order(rows):
+        if who is None:
+            want[seq] = (0, 0, None, None, None)
+            continue
+        want[seq] = (sums[who], marks[who], since[who] + 1, *last.get(who, (None, None)))
+        sums[who] += n
+        marks[who] += n % 9 == 0
+        since[who] = 0 if n % 9 == 0 else since[who] + 1
+        last[who] = n, kind
+    assert got == want
 
 
 @pytest.mark.parametrize("shape", SHAPES)
-def test_previous_row_of_split_groups(spark, shape):
+def test_shared_previous_rows(spark, shape):
     rows = skewed()
-    split = split_groups(numbered(spark, rows, shape), ["who"])
-    got = by_seq(add_previous(split, ["who"], {"before": "n"}).rows, "before")
+    ordered = numbered(spark, rows, shape)
+    lagged = add_shared_previous(ordered, {"who": "who", "kind": "kind"}, ["n", "day"], everything="all")
+    got = by_seq(lagged.rows, "who__n", "who__day", "kind__n", "all__n")
     last, want = {}, {}
-    for r in in_order(rows):
-        want[r[0]] = (last.get(r[2]),)
-        if r[2] is not None:
-            last[r[2]] = r[4]
+    for seq, day, who, kind, n in in_order(rows):
+        old = [last.get(("who", who), (0, 0)), last.get(("kind", kind), (0, 0)), last.get("all", (0, 0))]
+        want[seq] = (old[0][0], old[0][1] or 0, old[1][0], old[2][0])
+        last["all"] = n, day
+        last |= {(name, key): (n, day) for name, key in (("who", who), ("kind", kind)) if key is not None}
     assert got == want
 
 
-def test_no_piece_of_a_group_exceeds_a_task(spark):
-    split = split_groups(numbered(spark, skewed(), (4, 25)), ["who"])
-    pieces = split.rows.groupBy("who", "group_split").count()
-    assert pieces.agg(F.max("count")).first()[0] <= 25
+def test_customer_figures_need_one_exchange_of_the_rows(spark):
+    """The rows move once and are read once; states and what they give move narrow."""
+    ordered = numbered(spark, skewed(), (4, 20))
+    marked = ordered.with_rows(ordered.rows.withColumn("mark", F.when(F.col("n") % 9 == 0, 1).otherwise(0)))
+    figures = member_figures(marked, "who", "who", ["n"], "mark", {"before": "n"})
+    figures.collect()
+    plan = figures._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = [line for line in plan.splitlines() if "Exchange " in line and "Broadcast" not in line]
+    # The rows and what they get by chunk, the states by member; the rows' exchange serves twice.
+    assert sum("ReusedExchange" in line for line in lines) == 1 and len(lines) == 4
+    assert plan.count("FileScan") == 1 and "SinglePartition" not in plan
+
+
+def test_lag_columns_need_one_exchange_of_the_rows(spark, folder):
+    report, enrich = testdata.report(spark, folder), testdata.enrichment(spark, folder)
+    clean = clean_quotes(report, enrich, 4, task_rows=50)
+    lagged = history.lag_columns(clean)
+    assert len([c for c in lagged.columns if c.endswith("_lag")]) == 27
+    lines = exchanges(lagged)
+    assert sum("passthrough" in line for line in lines) == 1 and len(lines) == 3
+    whole = history.lag_columns(clean_quotes(report, enrich, 1)).drop("pos", "chunk")
+    assert whole.exceptAll(lagged.drop("pos", "chunk")).count() == 0 and lagged.count() == whole.count() > 0
 
 
 def test_input_partitioning_does_not_matter(spark, folder):
