@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadtide import remote
+
 #: Folders made for local sessions without a setting, by application.
 _MADE: dict[str, str] = {}
 
@@ -39,4 +41,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables given by ``store`` whose readers are done: what was made from them is
+    itself written."""
+    for table in tables:
+        remote.delete(table.sparkSession, table.stored_at)
