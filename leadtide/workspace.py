@@ -48,6 +48,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables given by ``store`` whose readers are done: what was made from them is
-    itself written."""
+    itself written. Shuffle files that nothing refers to any more go as well: Spark removes
+    them when the driver collects its garbage, which may otherwise be long in coming."""
     for table in tables:
         remote.delete(table.sparkSession, table.stored_at)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
