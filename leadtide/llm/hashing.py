@@ -7,14 +7,20 @@ import xxhash
 
 from leadtide.llm.token_pack import Memo
 
-WORDS = Memo(xxhash.xxh64_intdigest, 300_000)
+#: 128 bits of a word; the memo holds at least the last so many different words.
+WORDS = Memo(xxhash.xxh3_128_digest, 100_000)
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 SHIFT = np.uint64(32)
 
 
+def both_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent hashes of every word, a row each."""
+    return np.frombuffer(b"".join(map(WORDS.__getitem__, words)), "<u8").reshape(-1, 2).T
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    return both_hashes(words)[0]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

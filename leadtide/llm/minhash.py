@@ -14,10 +14,12 @@ turned away by the estimate, six deviations below, about as rarely.
 Large groups: exact copies are one class with its smallest id. In a band, members are first
 paired with the smallest member alone. Only bands that still hold several components go on.
 There, a set with too many shingles that no other has can link with nothing and is dropped;
-the rest meet the set with the fewest such shingles, and what still stands apart then is
-paired, if sizes and shared shingles allow a link at all. Bands that are still large are cut
-by a second band key, as two texts at the threshold share at least two bands but once in
-10 ** 5. Every step is a join that Spark can split; no task holds a band.
+the rest meet the set with the fewest such shingles, the hub of the band. What still stands
+apart then is compared by its differences from the hub, which hold none of the shingles that
+the band has in common: two sets that link have a rare difference in common (see
+``_differences``). First one set of each such group meets the others, then what is still
+apart meets. That step is exact. Every step is a join that Spark can split; no task holds a
+band.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ from leadtide.workspace import store
 HASHES = 128
 BITS = 4
 LONGS = HASHES * BITS // 64
-LARGE_BAND = 64
 BROADCAST_IDS = 1_000_000
 
 _RANDOM = np.random.default_rng(7)
@@ -202,8 +203,9 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(several, ["band", "key"], "left_semi")
 
 
-def _possible(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """``members`` of mixed bands without those that can link with nothing there.
+def _possible(docs: DataFrame, members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """``members`` of mixed bands without those that can link with nothing there, and the
+    sets of all that were looked at.
 
     Adds ``n``, the set's size, and ``m``, its shingles that some other member has too. A
     link shares at most ``m`` shingles, with a set that is at least ``percent`` as large and no
@@ -234,7 +236,84 @@ def _possible(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
             f"{100 + rule.percent} * m >= {rule.percent} * (n + greatest(least, {rule.percent / 100}D * n))"
         )
         members = store(_mixed(open_rows.drop("least")), "open-bands")
-    return members
+    return members, rows
+
+
+def _differences(open_rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The rare differences of open sets from the hubs of their bands.
+
+    Sets a and b link if they differ in at most ``t = k * (|a| + |b|)`` shingles, where
+    ``k = (1 - percent) / (1 + percent)``. With A and B their differences from a hub h, a and b
+    differ in as many shingles as A and B do. If not both link with h, A and B together have
+    more than t members, so a link needs a common one; in any order, of those before the first
+    common one, in A and in B, there are at most t, and in one of them at most t / 2. The order
+    is by the number of open sets with that difference.
+
+    Rows: ``hub``, ``shingle``, ``id``, ``component``, ``n``, ``place`` (members before it), and
+    ``short``: whether at most t / 2 for the largest t that the set may have.
+    """
+    who = open_rows.select(F.col("rep").alias("id"), "hub", "n", "component").distinct()
+    sets = sets.dropDuplicates(["id"])
+    apart = store(
+        who.join(sets, "id")
+        .join(sets.select(F.col("id").alias("hub"), F.col("members").alias("core")), "hub")
+        .selectExpr(
+            "id", "hub", "n", "component",
+            "explode(concat(array_except(members, core), array_except(core, members))) AS shingle",
+        ),
+        "differences",
+    )
+    often = apart.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    most = f"n * {(100 - rule.percent) / rule.percent!r}D"
+    return store(
+        apart.join(often, ["hub", "shingle"])
+        .groupBy("id", "hub", "n", "component")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+        .selectExpr("id", "hub", "n", "component", f"posexplode(slice(s, 1, int({most}) + 1)) AS (place, s)")
+        .filter("s.often > 1")
+        .selectExpr("hub", "s.shingle AS shingle", "id", "component", "n", "place", f"place <= int({most} / 2) AS short"),
+        "rare-differences",
+    )
+
+
+def _may_link(rule: Rule) -> str:
+    """SQL: sides a and b of ``_differences`` are of different components and may link."""
+    k = (100 - rule.percent) / (100 + rule.percent)
+    return (
+        "id_a != id_b AND component_a != component_b AND "
+        f"place_a + place_b <= {k!r}D * (n_a + n_b) + 1e-9 AND "
+        f"100 * least(n_a, n_b) >= {rule.percent} * greatest(n_a, n_b)"
+    )
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("hub", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "place")])
+
+
+def _pairs_of(joined: DataFrame, rule: Rule) -> DataFrame:
+    pairs = joined.filter(_may_link(rule))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _first_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """One set of each group of a common difference, the one that has it first, with the rest."""
+    one = F.min(F.struct("place", "id", "component", "n")).alias("one")
+    chosen = rows.filter("short").groupBy("hub", "shingle").agg(one).select("hub", "shingle", "one.*")
+    return _pairs_of(_side(chosen, "a").join(_side(rows, "b"), ["hub", "shingle"]), rule)
+
+
+def _other_pairs(rows: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs with a common difference whose sets are still of different components."""
+    found = components(links).select(F.col("id"), F.col("component").alias("now"))
+    rows = rows.join(found, "id", "left").withColumn("component", F.coalesce("now", "id")).drop("now")
+    several = (
+        rows.groupBy("hub", "shingle")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low != high")
+        .select("hub", "shingle")
+    )
+    rows = store(rows.join(several, ["hub", "shingle"], "left_semi"), "rare-differences")
+    return _pairs_of(_side(rows.filter("short"), "a").join(_side(rows, "b"), ["hub", "shingle"]), rule)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
@@ -242,8 +321,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing.
     A null id links with nothing either; its component is null and it is kept. Rows that
-    share an id share a component, and the first of them counts as its text in the search;
-    equal texts are always one component. Other columns are not read. An empty table gives an
+    share an id share a component, and of several texts of the smallest id of their classes the
+    one with the smallest hash is searched; equal texts are always one component. Other columns are not read. An empty table gives an
     empty one. Very long texts have larger sets and the same signature size.
     """
     ship(docs.sparkSession)
@@ -257,7 +336,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
     named = signed.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = store(
-        named.join(classes, "key").filter("doc_id = rep").select("rep", "bands", "sig").dropDuplicates(["rep"]),
+        named.join(classes, "key")
+        .filter("doc_id = rep")
+        .groupBy("rep")
+        .agg(F.min_by(F.struct("bands", "sig"), "key").alias("first"))
+        .select("rep", "first.bands", "first.sig"),
         "representatives",
     )
     bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -269,48 +352,29 @@ def near_duplicates(docs: DataFrame, rule: Rule = FIVE_WORDS) -> DataFrame:
         "found",
     )
     members = members.drop("hub")
-    open_rows = _possible(docs, store(_labelled(members, links), "placed"), rule)
+    open_rows, sets = _possible(docs, store(_labelled(members, links), "placed"), rule)
     if open_rows.limit(1).count():
         # The set with the fewest shingles of its own is the likeliest to link.
         hubs = open_rows.groupBy("band", "key").agg(
             F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "component")).alias("hub")
         )
+        open_rows = store(open_rows.join(hubs, ["band", "key"]), "hubs")
         second = (
-            open_rows.join(hubs, ["band", "key"])
-            .filter("component != hub.component")
+            open_rows.filter("component != hub.component")
             .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
             .distinct()
         )
         links = store(links.unionByName(_confirm(docs, second, reps, rule)), "found")
-        open_rows = store(_mixed(_labelled(open_rows.drop("component"), links)), "open-bands")
-        size = open_rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"))
-        open_rows = open_rows.join(size, ["band", "key"])
-        small = open_rows.filter(f"rows <= {LARGE_BAND}").selectExpr(
-            "rep", "component", "n", "m", "band", "key", "-1 AS band2", "0L AS key2"
-        )
-        large = (
-            open_rows.filter(f"rows > {LARGE_BAND}")
-            .join(reps.select("rep", "bands"), "rep")
-            .selectExpr("rep", "component", "n", "m", "band", "key", "posexplode(bands) AS (band2, key2)")
-            .filter("band2 != band")
-        )
-        group = ["band", "key", "band2", "key2"]
-        rest = store(small.unionByName(large), "open-pairs")
-        left, right = (
-            rest.select(*group, *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "m")])
-            for side in "ab"
-        )
-        pairs = (
-            left.join(right, group)
-            .filter(
-                "rep_a < rep_b AND component_a != component_b AND "
-                f"{100 + rule.percent} * least(m_a, m_b) >= {rule.percent} * (n_a + n_b)"
-            )
-            .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-            .distinct()
-        )
-        links = store(links.unionByName(_confirm(docs, pairs, reps, rule)), "found")
-
+        open_rows = _mixed(_labelled(open_rows.drop("component").withColumn("hub", F.col("hub.rep")), links))
+        rows = _differences(store(open_rows, "open-bands"), sets, rule)
+        for pairs_of in (lambda: _first_pairs(rows, rule), lambda: _other_pairs(rows, links, rule)):
+            links = store(links.unionByName(_confirm(docs, pairs_of(), reps, rule)), "found")
+
+    # An id with several texts joins their classes.
+    classed = named.join(classes, "key").select("doc_id", "rep")
+    several = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a != last")
+    joined = classed.join(several.select("doc_id", "a"), "doc_id").filter("rep != a").select("a", F.col("rep").alias("b"))
+    links = links.unionByName(joined.distinct())
     found = components(links).withColumnRenamed("id", "rep")
     placed = classes.join(found, "rep", "left").select(
         "key", F.coalesce("component", "rep").alias("component")
