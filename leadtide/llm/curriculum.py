@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadtide.llm.common import row_struct, word_count
+from leadtide.llm.common import word_count
 from leadtide.workspace import store
 
 #: Start and end weight of the first, second, third source, and so on again; means 5, 2, 1.
@@ -85,8 +85,10 @@ def assign(
     max_repeat: int = MAX_REPEAT,
     seed: int = 17,
     bucket_rows: int = BUCKET_ROWS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with what the mix makes of it.
+    """Each row of ``docs`` as ``row`` (its columns ``keep``, all if None), with what the mix
+    makes of it.
 
     Columns: ``size`` (words), ``source_size``, ``target``, ``copies``, and ``positions``, the
     places of the copies in the training order, counted in words of the whole mix. A source
@@ -94,20 +96,25 @@ def assign(
     order as long as they end nearer to the target than without them.
 
     Null or empty texts have size 0: they come along with each whole pass and add no words.
-    A null source is a source of its own, last in order. Repeated rows count one by one; rows
-    of one id and size are interchangeable, so reruns agree. An empty table gives an empty one.
+    A null source is a source of its own, last in order. Rows without an id are spread by their
+    texts. Repeated rows count one by one; rows of one id and size are interchangeable, so
+    reruns agree. An empty table gives an empty one.
     """
     if any(a < 0 or b < 0 or a + b <= 0 for a, b in schedule):
         raise ValueError("weights are not negative, and not zero throughout")
     n_buckets = docs.count() // bucket_rows + 1
-    rows = row_struct(docs).select(
-        "row",
-        F.coalesce(F.concat(F.lit("s"), "row.source"), F.lit("n")).alias("source_key"),
-        word_count(F.col("row.text")).alias("size"),
-        F.expr(f"bigint(conv(substring(md5(concat_ws(':', row.doc_id, {seed})), 1, 15), 16, 10))").alias("turn"),
+    name = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("n"), F.xxhash64(docs["text"])))
+    digest = F.substring(F.md5(F.concat_ws(":", name, F.lit(str(seed))).cast("binary")), 1, 15)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"),
+        docs["source"].alias("source"),
+        docs["doc_id"].alias("id"),
+        F.coalesce(F.concat(F.lit("s"), docs["source"]), F.lit("n")).alias("source_key"),
+        word_count(docs["text"]).alias("size"),
+        F.conv(digest, 16, 10).cast("bigint").alias("turn"),
     ).withColumn("bucket", F.expr(f"shiftright(turn, 32) * {n_buckets} div {1 << 28}"))
     sums = store(
-        rows.groupBy("source_key", F.col("row.source").alias("source"), "bucket").agg(
+        rows.groupBy("source_key", "source", "bucket").agg(
             F.sum("size").alias("bucket_size")
         ),
         "mix-sums",
@@ -129,11 +136,11 @@ def assign(
     ).join(targets, "source_key")
     place = "least(1D, (e * source_size + before + size / 2D) / target)"
     return (
-        rows.join(base, ["source_key", "bucket"])
+        rows.drop("source").join(base, ["source_key", "bucket"])
         .selectExpr(
             "row", "size", "source_size", "target", "tilt",
             "base + coalesce(sum(size) OVER (PARTITION BY source_key, bucket "
-            f"ORDER BY turn, row.doc_id, size {EARLIER}), 0L) AS before",
+            f"ORDER BY turn, id, size {EARLIER}), 0L) AS before",
         )
         .selectExpr(
             "*",
@@ -152,11 +159,27 @@ def assign(
     )
 
 
+def in_order(assigned: DataFrame) -> DataFrame:
+    """The copies of ``assign``'s rows with their ``position``, range-sorted by it."""
+    copies = assigned.withColumn("position", F.explode("positions")).drop("positions")
+    return copies.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training set: the columns of ``docs``, a row for each copy, in training order."""
-    copies = assign(docs, **options).select("row", F.explode("positions").alias("position"))
-    return (
-        copies.repartitionByRange("position", "row.doc_id")
-        .sortWithinPartitions("position", "row.doc_id")
-        .select("row.*")
+    return in_order(assign(docs, **options)).select("row.*")
+
+
+def taken(docs: DataFrame, keep: list[str], **options) -> DataFrame:
+    """Each row of ``docs`` as ``row``, with ``size``, ``source_size``, ``target``, and what the
+    sorted mix holds of it: ``taken``, its words with repeats, and ``first_position``.
+
+    The mix is written in training order and read back.
+    """
+    number = F.monotonically_increasing_id().alias("number")
+    assigned = store(assign(docs, keep=keep, **options).select("*", number), "mix")
+    order = store(in_order(assigned).select("number", "size", "position"), "mix-order")
+    held = order.groupBy("number").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    return assigned.join(held, "number", "left").select(
+        "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_position"
     )

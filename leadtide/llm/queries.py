@@ -86,8 +86,9 @@ SELECT DISTINCT doc_id, item_id FROM z WHERE seen >= w AND hits >= w - s
 
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.assign(table(spark, sf_dir, "documents")).selectExpr(
-        "row.doc_id", "size", "source_size", "target", "bigint(size * copies) AS taken"
+    mixed = curriculum.taken(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.selectExpr(
+        "row.doc_id", "size", "source_size", "target", "taken", "round(first_position, 2) AS first_position"
     )
 
 
@@ -98,7 +99,8 @@ WITH d AS (
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.0 ELSE -0.5 END::DOUBLE AS tilt
   FROM d GROUP BY source),
 c AS (
   SELECT *, (3 * source_size)::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total,
@@ -110,16 +112,23 @@ c AS (
 l AS (
   SELECT max(CASE WHEN (total - capped) / open_weight * weight <= cap THEN (total - capped) / open_weight END) AS level
   FROM c),
-t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM c, l),
+t AS (SELECT source, source_size, tilt, least(cap, coalesce(level * weight, cap)) AS target FROM c, l),
+z AS (SELECT sum(target) AS total, sum(target * tilt) AS leaning FROM t),
 p AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, t.tilt,
     CASE WHEN t.source_size = 0 THEN 0 ELSE floor(t.target / t.source_size)::BIGINT END AS passes,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (size * (passes + CASE WHEN size > 0 AND before + size / 2 < target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, passes + CASE WHEN size > 0 AND before + size / 2 < target - passes * source_size THEN 1 ELSE 0 END AS copies,
+    least(1, (before + size / 2) / target) AS u FROM p),
+w AS (
+  SELECT *, CASE WHEN tilt = 0 THEN u
+    ELSE ((1 + tilt) - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * u, 0))) / (2 * tilt) END AS moment FROM q)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+  CASE WHEN copies > 0 THEN round(total * moment + leaning * (moment - moment * moment), 2) END AS first_position
+FROM w, z
 """
 
 
