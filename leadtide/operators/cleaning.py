@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from leadtide.schema import (
     REQUEST,
     SEQ,
 )
-from leadtide.workspace import store
+from leadtide.workspace import drop, store
 
 
 def enrich_quotes(report: DataFrame, enrich: DataFrame) -> DataFrame:
@@ -175,8 +177,11 @@ def clean_quotes(
 ) -> Ordered:
     """The cleaned quote table with labels, stored.
 
-    ``whether_new`` is set on all valid quotes, before orders are deduplicated.
+    ``whether_new`` is set on all valid quotes, before orders are deduplicated. The table of
+    ordered quotes is dropped when the clean one is written.
     """
     quotes = order_quotes(report, enrich, partitions, task_rows)
     deduped = dedupe_orders(flag_new_customers(quotes), source=quotes.rows)
-    return quotes.with_rows(store(add_labels(deduped.rows), "clean"))
+    clean = store(add_labels(deduped.rows), "clean")
+    drop(quotes.stored)
+    return replace(quotes, rows=clean, stored=clean)

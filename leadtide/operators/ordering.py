@@ -52,6 +52,8 @@ class Ordered:
     n_rows: int
     n_chunks: int
     task_rows: int = TASK_ROWS
+    #: The written table behind the rows, as long as it is needed.
+    stored: DataFrame | None = None
 
     def with_rows(self, rows: DataFrame) -> Ordered:
         """The same order over a subset of the rows or over further columns."""
@@ -95,6 +97,7 @@ def number_rows(
         size["n"],
         ((size["last_part"] or 0) + 1) * slices,
         task_rows,
+        rows,
     )
 
 
