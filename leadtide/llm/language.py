@@ -11,24 +11,24 @@ whatever the corpus; counts are summed in the tasks before they are shuffled.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadtide.llm.common import row_struct, ship
+from leadtide.workspace import store
 
 UNKNOWN = "und"
 BITS = 15
 BUCKETS = 1 << BITS
-MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 PENALTY = 3.0
 STEPS, REFIT_STEPS = 10, 4
 BATCH_BYTES = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: Number signs such as ² are no letters.
+LETTER = regex.compile(r"\p{L}")
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
@@ -76,15 +76,15 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
     )
-    names = [r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names.sort()
+    counts = store(counts, "language-counts")
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     table = np.full((len(names), BUCKETS), SMOOTHING)
-    # At most languages times buckets rows, a bound that the corpus does not move.
-    rows = counts.toPandas() if names else None
-    if rows is not None:
-        table[[names.index(x) for x in rows["lang"]], rows["slot"]] += rows["n"]
+    # The counts of one language at a time: at most as many rows as there are buckets. The model
+    # grows with the languages alone, 256 kB each.
+    for k, name in enumerate(names):
+        rows = counts.filter(F.col("lang") == name).toPandas()
+        table[k, rows["slot"]] += rows["n"]
+    if names:
         table /= table.sum(axis=1, keepdims=True)
     return names, table
 
@@ -132,35 +132,29 @@ def mixtures(texts: list[str], model: np.ndarray) -> np.ndarray:
 
 
 def _predict(names, shared):
-    def run(batches):
+    def judged(rows, texts):
         model = shared.value
-        for batch in batches:
-            out_lang, out_score = [], []
-            texts, held = [], 0
-
-            def flush():
-                found = [i for i, t in enumerate(texts) if t and names and LETTER.search(t)]
-                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if found:
-                    pi = mixtures([texts[i] for i in found], model)
-                    top = pi.argmax(axis=1)
-                    for i, l, p in zip(found, top, pi[np.arange(len(found)), top]):
-                        langs[i], scores[i] = names[l], float(min(1.0, p))
-                out_lang.extend(langs)
-                out_score.extend(scores)
+        found = [i for i, t in enumerate(texts) if t and names and LETTER.search(t)]
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if found:
+            pi = mixtures([texts[i] for i in found], model)
+            top = pi.argmax(axis=1)
+            for i, l, p in zip(found, top, pi[np.arange(len(found)), top]):
+                langs[i], scores[i] = names[l], float(min(1.0, p))
+        return pa.RecordBatch.from_arrays(
+            [rows, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"]
+        )
 
+    def run(batches):
+        for batch in batches:
+            texts, held, begin = [], 0, 0
             column = batch.column("text")
             for i in range(batch.num_rows):
                 texts.append(column[i].as_py())
                 held += len(texts[-1] or "")
-                if held >= BATCH_BYTES:
-                    flush()
-                    texts, held = [], 0
-            flush()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())],
-                names=["row", "lang_pred", "score"],
-            )
+                if held >= BATCH_BYTES or i == batch.num_rows - 1:
+                    yield judged(batch.column("row").slice(begin, len(texts)), texts)
+                    texts, held, begin = [], 0, i + 1
 
     return run
 
