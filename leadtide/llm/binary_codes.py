@@ -44,6 +44,14 @@ def rotation(dim: int, number: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def to_scale(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component between 1/2 and 1, so
+    that no norm overflows or vanishes. The cosine stays what it is."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    half = exponent // 2
+    return np.ldexp(np.ldexp(x, -half), half - exponent)
+
+
 def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Turned vectors, packed codes and correction factors of unit vectors (rows)."""
     turned = unit @ rotation(unit.shape[1], 0).T
@@ -79,7 +87,7 @@ def _keys(bits: int, tables: int):
             for i, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, rows in by_dim.items():
-                x = np.array([vectors[i] for i in rows], np.float64)
+                x = to_scale(np.array([vectors[i] for i in rows], np.float64))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if dim not in rotations:
                     need = math.ceil(bits * tables / dim)
@@ -117,7 +125,7 @@ def _meet(group: pa.Table) -> pa.Table:
         dims = np.diff(offsets)
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
-            x = flat[offsets[rows][:, None] + np.arange(dim)].astype(np.float64)
+            x = to_scale(flat[offsets[rows][:, None] + np.arange(dim)].astype(np.float64))
             norm = np.linalg.norm(x, axis=1)
             turned, codes, factors = encode(x / norm[:, None])
             key, own = keys[rows], ids[rows]

@@ -54,6 +54,30 @@ def test_binary_codes_equal_all_pairs(spark):
     assert got[None].component_id is None and got[None].n_links == 0
 
 
+def test_vectors_of_any_length_link(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    near = base + rng.normal(size=64) * 0.05
+    rows = [(k, (v * scale).tolist()) for k, (v, scale) in enumerate([(base, 1e200), (near, 1e200), (base, 1e-200), (near, 1e-300), (-base, 1.0)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in binary_codes.near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4)}
+
+
+def test_recall_close_to_the_threshold(spark):
+    """Pairs planted between 0.90 and 0.92 among vectors that are far apart."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(2000):
+        side = x[10_000 + i] - (x[10_000 + i] @ x[i]) * x[i]
+        cosine = rng.uniform(0.9001, 0.92)
+        x[10_000 + i] = cosine * x[i] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = binary_codes.near_duplicates(df).filter("vec_id BETWEEN 10000 AND 11999 AND component_id = vec_id - 10000").count()
+    assert found >= 0.985 * 2000
+
+
 def test_binary_codes_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     assert binary_codes.near_duplicates(df).count() == 0
