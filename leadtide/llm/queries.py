@@ -54,11 +54,44 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.THREE_WORDS)
 
 
+ORACLES["op1_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[k:k + 2], ' ')) AS g
+  FROM d, unnest(range(1, greatest(len(w) - 1, 2))) u(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id, d.doc_id = component_id AS kept
+FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op2_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS seen FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, id = component_id AS kept
+FROM m LEFT JOIN n ON n.a = m.id
+"""
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -148,6 +181,21 @@ def op7_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.remove_repeated(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_doubling_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) AS h FROM d, unnest(range(1, len(w) - 18)) u(k)),
+l AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS place FROM x) WHERE place > 1),
+y AS (SELECT doc_id, k, w[k] AS word FROM d, unnest(range(1, len(w) + 1)) u(k)),
+z AS (
+  SELECT y.*, coalesce(max(l.k) OVER (PARTITION BY y.doc_id ORDER BY y.k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM y LEFT JOIN l ON l.doc_id = y.doc_id AND l.k = y.k),
+g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM z GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_count.write_flat(table(spark, sf_dir, "documents"), tokenizer_path(), SEPARATOR)
