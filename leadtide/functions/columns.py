@@ -12,6 +12,10 @@ from leadtide.schema import TIMESTAMP_FORMAT
 SECONDS_PER_DAY = 86400
 #: Text in ``TIMESTAMP_FORMAT``.
 TIMESTAMP_SHAPE = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
+# What is cut off order numbers and products, the days below which a quote counts
+# as closed, the smallest value that is no 0, and the seed of the split.
+ORDER_TAIL = "[^0-9]+$"
+PRODUCT_HEAD = "^Custom "
 CLOSED_WITHIN = {"close_3d": 4, "close_2w": 15}
 SMALLEST_VALUE = 20
 SPLIT_SEED = 31
@@ -28,11 +32,11 @@ def parse_timestamp(col: Column) -> Column:
 
 def clean_order_number(col: Column) -> Column:
     """Drop everything after the last digit."""
-    return F.regexp_replace(col, "[^0-9]+$", "")
+    return F.regexp_replace(col, ORDER_TAIL, "")
 
 
 def clean_product(col: Column) -> Column:
-    return F.regexp_replace(col, "^Custom ", "")
+    return F.regexp_replace(col, PRODUCT_HEAD, "")
 
 
 def floored_days(start: Column, end: Column) -> Column:
