@@ -13,8 +13,9 @@ without candidates leaves the next nothing to do.
 Documents with equal words are one class; only its first member takes part, and later members
 lose every window. Counting joins and sums over hashes is left to Spark: minima and counts are
 combined before their shuffle, and a passage that a third of all documents share is a key with
-many rows on one side of a join, which Spark splits. Tables of a level are dropped when the
-next is written.
+many rows on one side of a join, which Spark splits: the other side is written first, as both
+must come straight from a shuffle for that. Tables of a level are dropped when the next is
+written.
 """
 
 from __future__ import annotations
@@ -171,19 +172,29 @@ def repeated_anchors(reps: DataFrame) -> DataFrame:
     rows = reps.select("doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("a")).select(
         "doc_id", F.col("a.places").alias("place"), F.col("a.hashes").alias("hash")
     )
-    twice = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    return store(
+    twice = store(
+        rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "level-1-hashes"
+    )
+    found = store(
         rows.join(twice, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("found")),
         "level-1",
     )
+    drop(twice)
+    return found
+
+
+def _firsts(rows: DataFrame, at: str) -> DataFrame:
+    """The first ``doc_id`` and ``at`` of all hashes that stand more than once; written."""
+    place = F.struct("doc_id", at)
+    first = rows.groupBy("hash", "hash2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    return store(first.filter("n > 1").drop("n"), "level-2-first")
 
 
-def _later(rows: DataFrame, at: str) -> DataFrame:
+def _later(rows: DataFrame, first: DataFrame, at: str) -> DataFrame:
     """``rows`` with ``later``: whether the same hashes stand at a smaller ``doc_id`` or, in the
-    same document, at a smaller ``at``."""
+    same document, at a smaller ``at``. ``first`` comes from ``_firsts``."""
     key = ["hash", "hash2"]
     place = F.struct("doc_id", at)
-    first = rows.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = F.coalesce(place != F.col("first"), F.lit(False))
     return rows.join(first, key, "left").select(*[c for c in rows.columns if c not in key], later.alias("later"))
 
@@ -203,17 +214,19 @@ def repeated_starts(docs: DataFrame, found: DataFrame, length: int = LENGTH) ->
         beside_texts(docs, found).mapInArrow(_runs(length), "doc_id bigint, low int, high int, hash bigint, hash2 bigint"),
         "level-2-runs",
     )
-    runs = store(_later(whole, "low"), "level-2-marked")
-    drop(found, whole)
+    first = _firsts(whole, "low")
+    runs = store(_later(whole, first, "low"), "level-2-marked")
+    drop(found, whole, first)
     firsts = store(_by_document(runs.filter("NOT later")), "level-2-firsts")
     windows = store(
         beside_texts(docs, firsts).mapInArrow(_long(length), "doc_id bigint, place int, hash bigint, hash2 bigint"),
         "level-2-windows",
     )
     drop(firsts)
-    single = _later(windows, "place").filter("later").select("doc_id", F.col("place").alias("low"), F.col("place").alias("high"))
+    first = _firsts(windows, "place")
+    single = _later(windows, first, "place").filter("later").select("doc_id", F.col("place").alias("low"), F.col("place").alias("high"))
     starts = store(_by_document(runs.filter("later").select("doc_id", "low", "high").unionByName(single)), "level-2")
-    drop(windows, runs)
+    drop(windows, runs, first)
     return starts
 
 
