@@ -5,7 +5,13 @@
 3. benchmark: documents that hold a benchmark item go.
 4. mix: documents are repeated or left out so that sources meet their target weights, in
    training order.
-5. tokens: what is left is written as packed ids; the result is read back from the files.
+5. tokens: the mix is written as packed ids, in the order in which its files hold it; the
+   result is read back from the files.
+
+Null texts and texts without a letter go in stage 1. Rows that repeat an id are kept or
+dropped together in stages 2 and 3. Rows without an id have no duplicates and are judged by
+their texts in stage 3. Further columns are carried along, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +30,13 @@ from leadtide.llm.queries import END_ID, tokenizer_path  # noqa: E402
 from leadtide.workspace import fresh_path, store  # noqa: E402
 
 LEAST_SHARE = 0.5
-#: Few enough kept or dropped ids to be broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Encoded words and pieces that a worker keeps: it also holds what other stages left.
+KEPT = (100_000, 60_000)
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one language holds at least ``LEAST_SHARE``. Nulls in ``lang`` only
+    mean that a row is not learnt from; without any label all documents go."""
     names = docs.columns
     found = language.predict(row_struct(docs, "text"), language.training_rows(docs), keep=["row"])
     clean = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
@@ -36,23 +44,26 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs)
-    gone = store(found.filter("NOT kept").select("doc_id").distinct(), "duplicates")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    """One document of each group, that with the smallest id; all rows of that id stay."""
+    gone = store(minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "duplicates")
     return row_struct(docs, "doc_id").join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in training order; a row for each copy, and none for what is left out."""
     return curriculum.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_pack.read_documents(spark, token_pack.write(docs, tokenizer_path(), END_ID))
+    """Packed ids in training order, read back: a row for each row of ``docs``. A table that
+    was not read from files is packed by id."""
+    order = token_pack.stored_order(docs)
+    return token_pack.read_documents(spark, token_pack.write(docs, tokenizer_path(), END_ID, order=order, kept=KEPT))
 
 
 STAGES = [

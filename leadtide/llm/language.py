@@ -26,7 +26,7 @@ BUCKETS = 1 << BITS
 SMOOTHING = 0.5
 PENALTY = 3.0
 STEPS, REFIT_STEPS = 10, 4
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Number signs such as ² are no letters.
 LETTER = regex.compile(r"\p{L}")
 
@@ -58,6 +58,7 @@ def _count(batches):
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS, np.int64)
                 sums[lang] += np.bincount(grams(text), minlength=BUCKETS)
+    pa.default_memory_pool().release_unused()  # the worker lives on
     for lang, counts in sums.items():
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -155,6 +156,7 @@ def _predict(names, shared):
                 if held >= BATCH_BYTES or i == batch.num_rows - 1:
                     yield judged(batch.column("row").slice(begin, len(texts)), texts)
                     texts, held, begin = [], 0, i + 1
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 

@@ -20,7 +20,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtide.llm.common import ship
@@ -102,9 +103,11 @@ class Encoder:
     CUTS = [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", None]
     PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
     PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-ÿ]+|[0-9]|[^\sa-z0-9ß-ÿ]+")
-    WORDS, PIECES = 250_000, 200_000
+    #: Words and pieces kept. A worker lives on after its task, so that a job of several stages
+    #: may want fewer.
+    KEPT = (250_000, 200_000)
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, kept: tuple[int, int] = KEPT):
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
@@ -121,8 +124,8 @@ class Encoder:
         plain = [chr(c) for c in range(256) if self.PLAIN.fullmatch(chr(c))]
         self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
         self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.pieces = Memo(self._piece, self.PIECES)
-        self.words = Memo(self._word, self.WORDS)
+        self.pieces = Memo(self._piece, kept[1])
+        self.words = Memo(self._word, kept[0])
 
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece.translate(self.table))]
@@ -144,11 +147,11 @@ class Encoder:
 ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, kept: tuple[int, int] = Encoder.KEPT) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
-    key = path, special_as_text
+    key = path, special_as_text, kept
     if key not in ENCODERS:
-        ENCODERS[key] = Encoder(path, special_as_text)
+        ENCODERS[key] = Encoder(path, special_as_text, kept)
     return ENCODERS[key]
 
 
@@ -160,9 +163,9 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
-def _blocks(path: str, end_id: int, vocabulary: int | None):
+def _blocks(path: str, end_id: int, vocabulary: int | None, kept: tuple[int, int]):
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, False, kept)
         width = bit_width(max(vocabulary or encode.vocabulary, end_id + 1))
         shard = TaskContext.get().partitionId()
         end = np.array([end_id], encode.dtype)
@@ -193,25 +196,49 @@ def _blocks(path: str, end_id: int, vocabulary: int | None):
                 docs, ends, parts = [], [], []
         if docs:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> str:
+def stored_order(docs: DataFrame) -> list[Column] | None:
+    """Columns that rise as the rows stand in the files that ``docs`` was read from, in the
+    order of their part numbers; None if it was not read from Parquet files."""
+    name = F.col("_metadata.file_name")
+    order = [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("int"), name, F.col("_metadata.row_index")]
+    try:
+        docs.select(*order)
+    except AnalysisException:
+        return None
+    return order
+
+
+def write(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 1,
+    path: str | None = None,
+    order: list[Column] | None = None,
+    kept: tuple[int, int] = Encoder.KEPT,
+) -> str:
     """Encode whole texts and write them in ascending ``doc_id`` order; returns the path.
 
-    Null and empty texts are documents with the end id alone. A null id comes first; equal
-    ids are neighbours, in order of their texts. An empty table writes no block. Other columns
-    are not read. A block is longer than ``BLOCK_TOKENS`` if one document is.
+    ``order`` names other columns to order by; they should tell all rows apart. ``kept`` are
+    the words and pieces that a worker keeps encoded: fewer take less memory and more time. Null and empty
+    texts are documents with the end id alone. A null id comes first; equal ids are neighbours,
+    in order of their texts. An empty table writes no block. Other columns are not read. A
+    block is longer than ``BLOCK_TOKENS`` if one document is.
     """
     ship(docs.sparkSession)
     path = path or fresh_path(docs.sparkSession, "tokens")
-    ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
-    ordered.mapInArrow(_blocks(tokenizer, end_id, None), BLOCKS).write.option(
+    if order:
+        names = [f"order_{i}" for i in range(len(order))]
+        rows = docs.select("doc_id", "text", *[c.alias(n) for c, n in zip(order, names)])
+        ordered = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
+    else:
+        rows = docs.select("doc_id", "text")
+        ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(_blocks(tokenizer, end_id, None, kept), BLOCKS).write.option(
         "compression", "zstd"
     ).parquet(path)
     return path
