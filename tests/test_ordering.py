@@ -10,9 +10,12 @@ from small import by_seq
 from leadtide.operators import history, metrics
 from leadtide.operators.cleaning import clean_quotes, dedupe_orders, order_quotes
 from leadtide.operators.ordering import (
+    CHUNKS,
+    TASK_ROWS,
     add_shared_previous,
     add_shared_prior,
     beside,
+    chunk_size,
     member_figures,
     number_rows,
 )
@@ -236,3 +239,14 @@ def test_running_totals_toy(spark):
         ("y", "2010-02-04", "y1", "a", 4, 4, 7),
         ("y", "2010-04-05", "y2", "b", 11, 15, 14),
     ]
+
+
+def test_chunks_do_not_grow_with_the_table(spark):
+    df = spark.range(3000).withColumn("n", F.col("id") % 7).repartition(4)
+    ordered = number_rows(df, [F.col("id")], "test", 2, task_rows=2)
+    assert ordered.n_chunks <= 2 * CHUNKS
+    assert chunk_size(3000, 2) == -(-3000 // CHUNKS)
+    assert chunk_size(600, 7) == 7 and chunk_size(10**12, 7) == TASK_ROWS
+    prior = add_shared_prior(ordered, {"n": "n"}, ["id"]).rows
+    got = {r["id"]: r["n__id"] for r in prior.collect()}
+    assert got == {i: sum(range(i % 7, i, 7)) for i in range(3000)}
