@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from small import at, by_seq, enrich, quote, report
@@ -207,3 +208,14 @@ def test_features_are_numbered_by_name(spark):
 def test_helper_columns_are_dropped(spark):
     rows = spark.createDataFrame([(1, 2, 3, 4)], "b int, x_lag int, a int, whether_order int")
     assert prep.drop_auxiliary(rows).columns == ["a", "b"]
+
+
+def test_scaling_sums_are_exact_in_batches_of_columns():
+    """Nulls left out, negative numbers, and sums beyond a long."""
+    values = [None, *[(-1) ** i * (2.0**59 + i) for i in range(70_000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(values, pa.float64())], ["c0"])
+    found = next(prep._exact_sums([(1.0, 1.0)])(iter([batch]))).to_pylist()[0]
+    whole = [int(v) for v in values[1:]]
+    assert found["n"] == len(whole) and found["s"] == sum(whole)
+    squares = (int(found["hh"]) << 2 * prep.HALF) + (int(found["hl"]) << prep.HALF + 1) + int(found["ll"])
+    assert squares == sum(w * w for w in whole)
