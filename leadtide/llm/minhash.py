@@ -247,10 +247,12 @@ def _differences(open_rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     differ in as many shingles as A and B do. If not both link with h, A and B together have
     more than t members, so a link needs a common one; in any order, of those before the first
     common one, in A and in B, there are at most t, and in one of them at most t / 2. The order
-    is by the number of open sets with that difference.
+    is by the number of open sets with that difference. Those that one set alone has come first
+    and are only counted; they meet nothing.
 
-    Rows: ``hub``, ``shingle``, ``id``, ``component``, ``n``, ``place`` (members before it), and
-    ``short``: whether at most t / 2 for the largest t that the set may have.
+    Rows: ``hub``, ``shingle``, ``id``, ``component``, ``n``, ``apart`` (all its differences),
+    ``place`` (members before it), and ``short``: whether at most t / 2 for the largest t that
+    the set may have.
     """
     who = open_rows.select(F.col("rep").alias("id"), "hub", "n", "component").distinct()
     sets = sets.dropDuplicates(["id"])
@@ -258,36 +260,42 @@ def _differences(open_rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
         who.join(sets, "id")
         .join(sets.select(F.col("id").alias("hub"), F.col("members").alias("core")), "hub")
         .selectExpr(
-            "id", "hub", "n", "component",
-            "explode(concat(array_except(members, core), array_except(core, members))) AS shingle",
-        ),
+            "id", "hub", "n", "component", "concat(array_except(members, core), array_except(core, members)) AS all"
+        )
+        .selectExpr("id", "hub", "n", "component", "size(all) AS apart", "explode(all) AS shingle"),
         "differences",
     )
-    often = apart.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    often = apart.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     most = f"n * {(100 - rule.percent) / rule.percent!r}D"
     return store(
         apart.join(often, ["hub", "shingle"])
-        .groupBy("id", "hub", "n", "component")
+        .groupBy("id", "hub", "n", "component", "apart")
         .agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
-        .selectExpr("id", "hub", "n", "component", f"posexplode(slice(s, 1, int({most}) + 1)) AS (place, s)")
-        .filter("s.often > 1")
-        .selectExpr("hub", "s.shingle AS shingle", "id", "component", "n", "place", f"place <= int({most} / 2) AS short"),
+        .selectExpr("*", "apart - size(s) AS alone")
+        .selectExpr("*", f"posexplode(slice(s, 1, greatest(int({most}) + 1 - alone, 0))) AS (at, one)")
+        .selectExpr("hub", "one.shingle AS shingle", "id", "component", "n", "apart", "alone + at AS place")
+        .withColumn("short", F.expr(f"place <= int({most} / 2)")),
         "rare-differences",
     )
 
 
 def _may_link(rule: Rule) -> str:
-    """SQL: sides a and b of ``_differences`` are of different components and may link."""
+    """SQL: sides a and b of ``_differences`` are of different components and may link.
+
+    If the common difference is their first one, no more than those from it on can be common,
+    in A as in B, and all others are differences between a and b.
+    """
     k = (100 - rule.percent) / (100 + rule.percent)
     return (
         "id_a != id_b AND component_a != component_b AND "
-        f"place_a + place_b <= {k!r}D * (n_a + n_b) + 1e-9 AND "
+        "greatest(apart_a - apart_b + 2 * place_b, apart_b - apart_a + 2 * place_a) "
+        f"<= {k!r}D * (n_a + n_b) + 1e-9 AND "
         f"100 * least(n_a, n_b) >= {rule.percent} * greatest(n_a, n_b)"
     )
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("hub", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "place")])
+    return rows.select("hub", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "apart", "place")])
 
 
 def _pairs_of(joined: DataFrame, rule: Rule) -> DataFrame:
@@ -297,7 +305,7 @@ def _pairs_of(joined: DataFrame, rule: Rule) -> DataFrame:
 
 def _first_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     """One set of each group of a common difference, the one that has it first, with the rest."""
-    one = F.min(F.struct("place", "id", "component", "n")).alias("one")
+    one = F.min(F.struct("place", "id", "component", "n", "apart")).alias("one")
     chosen = rows.filter("short").groupBy("hub", "shingle").agg(one).select("hub", "shingle", "one.*")
     return _pairs_of(_side(chosen, "a").join(_side(rows, "b"), ["hub", "shingle"]), rule)
 

@@ -26,6 +26,22 @@ def test_minhash_of_nothing(spark):
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == 0
 
 
+def test_only_pairs_that_may_link_meet_over_a_difference(spark):
+    hub = list(range(100))
+    sets = {0: hub, 1: [*hub, -5], 2: [*hub[18:], -5, *range(2000, 2017)], 3: [*hub[18:], *range(2000, 2018)]}
+    members = spark.createDataFrame([*sets.items()], "id bigint, members array<bigint>")
+    open_rows = spark.createDataFrame(
+        [(i, 0, len(s), i) for i, s in sets.items() if i], "rep bigint, hub bigint, n int, component bigint"
+    )
+    rows = minhash._differences(open_rows, members, minhash.FIVE_WORDS)
+    # 1 and 2 share their rarest difference; 35 others part them, and only 22 could.
+    assert minhash._first_pairs(rows, minhash.FIVE_WORDS).collect() == [(2, 3)]
+    # What one set alone has is counted as a difference and goes no further.
+    found = {(r.id, r.shingle): (r.apart, r.place, r.short) for r in rows.collect()}
+    assert found[1, -5] == (1, 0, True) and found[2, -5] == (36, 0, True) and (3, 2017) not in found
+    assert found[3, 0] == (36, 1, True) and found[3, 17] == (36, 18, False)
+
+
 def vectors():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 64))
