@@ -334,3 +334,11 @@ def test_models_are_fitted_at_the_same_time(spark):
     barrier = Barrier(3)
     fitted = models.fit_all((_Waiting(barrier, name), rows, "y") for name in "abc")
     assert fitted == [(name, ["x", "y", models.MODEL_LABEL]) for name in "abc"]
+
+
+def test_training_rows_lie_in_even_partitions(spark):
+    assert [models.training_parts(n, 12) for n in (0, 9_000, 100_000, 5_600_000, 33_600_000)] == [1, 1, 10, 12, 72]
+    uneven = spark.range(0, 60_000, 1, 1).union(spark.range(0, 20_000, 1, 12))
+    rows = models.dealt(uneven.withColumn("x", F.col("id") % 3))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 80_000 and max(sizes) < 1.1 * min(sizes)
