@@ -342,3 +342,13 @@ def test_training_rows_lie_in_even_partitions(spark):
     rows = models.dealt(uneven.withColumn("x", F.col("id") % 3))
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and sum(sizes) == 80_000 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_training_parses_records_once(spark, tables, tmp_path, monkeypatch):
+    source, trained_on = str(tmp_path / "rows"), []
+    files.training_rows(tables.both[1]).write.json(source)
+    fit = models.fit
+    monkeypatch.setattr(models, "fit", lambda p, rows, label: trained_on.append(rows) or fit(p, rows, label))
+    trainer.train_from_json(spark, source, str(tmp_path / "model"), rounds=1)
+    assert all(p.endswith(".parquet") for p in trained_on[0].inputFiles())
+    assert trained_on[0].count() == tables.both[1].count()
