@@ -40,6 +40,8 @@ HASHES = 128
 BITS = 4
 LONGS = HASHES * BITS // 64
 BROADCAST_IDS = 1_000_000
+#: Most shingles of hubs that are broadcast, 8 bytes each; parts of a hub's sets beyond that.
+BROADCAST_SHINGLES, HUB_PARTS = 2_000_000, 16
 
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,6 +241,22 @@ def _possible(docs: DataFrame, members: DataFrame, rule: Rule) -> tuple[DataFram
     return members, rows
 
 
+def _beside_hubs(who: DataFrame, sets: DataFrame) -> DataFrame:
+    """``who`` with its set (``members``) and that of its hub (``core``), dealt by ``id``.
+
+    All sets of a hub never meet in one task, as a join by ``hub`` alone would have it: few hubs
+    are broadcast; many are joined in parts of their sets, and the result is dealt by ``id``.
+    """
+    cores = sets.withColumnsRenamed({"id": "hub", "members": "core"}).join(who.select("hub").distinct(), "hub", "left_semi")
+    cores = store(cores, "hub-sets")
+    if (cores.agg(F.sum(F.size("core"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        return who.join(sets.hint("merge"), "id").join(F.broadcast(cores), "hub")
+    part = F.pmod(F.xxhash64("id"), F.lit(HUB_PARTS))
+    cores = cores.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
+    placed = who.withColumn("part", part.cast("int")).join(cores, ["hub", "part"]).drop("part")
+    return placed.join(sets.hint("merge"), "id")
+
+
 def _differences(open_rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The rare differences of open sets from the hubs of their bands.
 
@@ -257,8 +275,7 @@ def _differences(open_rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     who = open_rows.select(F.col("rep").alias("id"), "hub", "n", "component").distinct()
     sets = sets.dropDuplicates(["id"])
     apart = store(
-        who.join(sets, "id")
-        .join(sets.select(F.col("id").alias("hub"), F.col("members").alias("core")), "hub")
+        _beside_hubs(who, sets)
         .selectExpr(
             "id", "hub", "n", "component", "concat(array_except(members, core), array_except(core, members)) AS all"
         )

@@ -3,6 +3,7 @@
 import numpy as np
 import plain_llm as plain
 import pytest
+from pyspark.sql import functions as F
 
 from leadtide.llm import binary_codes, minhash
 
@@ -42,6 +43,20 @@ def test_only_pairs_that_may_link_meet_over_a_difference(spark):
     assert found[3, 0] == (36, 1, True) and found[3, 17] == (36, 18, False)
 
 
+def test_sets_of_one_hub_are_dealt_by_id(spark, monkeypatch):
+    """Whether hubs are broadcast or not; nine in ten sets have the same hub."""
+    sets = {i: [i, 1000 + i % 5] for i in range(400)}
+    members = spark.createDataFrame([*sets.items()], "id bigint, members array<bigint>")
+    hubs = [(i, i if i % 10 == 0 else 0, 2, i) for i in sets]
+    who = spark.createDataFrame(hubs, "id bigint, hub bigint, n int, component bigint")
+    for most in (minhash.BROADCAST_SHINGLES, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_SHINGLES", most)
+        found = minhash._beside_hubs(who, members)
+        rows = found.select("id", "hub", "n", "component", "members", "core", F.spark_partition_id().alias("part")).collect()
+        got = {r.id: (r.hub, r.n, r.component, r.members, r.core) for r in rows}
+        assert len(rows) == 400 and got == {i: (h, n, c, sets[i], sets[h]) for i, h, n, c in hubs}
+
+
 def vectors():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 64))
